@@ -58,12 +58,18 @@ def _sized(tagged: DataFrame) -> DataFrame:
         "raw_description", infer_size(F.col("raw_description")).alias("inferred")))
 
 
-def prefix_rules(tagged: DataFrame, min_train: int = 20, min_validation: int = 5) -> DataFrame:
-    """Prefix rules that also rebuild every specification with an inferable size."""
+def prefix_rules(tagged: DataFrame, min_train: int = 20, min_validation: int = 5,
+                 literal_spec: bool = False) -> DataFrame:
+    """Prefix rules that also rebuild every specification with an inferable size.
+
+    literal_spec compares with the specification as written (form-code rules) instead of its
+    parsed prefix and size (variety rules).
+    """
+    actual = F.col("spec") if literal_spec else F.concat("spec_prefix", "spec_size")
     gated = prefix_gate(prefix_purity(tagged), min_train, min_validation)
     sized = _sized(tagged.join(broadcast_if_small(gated), "form"))
     has_size = F.col("inferred").isNotNull()
-    right = has_size & (F.concat("prefix", "inferred.size") == F.concat("spec_prefix", "spec_size"))
+    right = has_size & (F.concat("prefix", "inferred.size") == actual)
 
     def total(window: str, condition: Column) -> Column:
         return F.coalesce(F.sum(F.when((F.col("window") == window) & condition, F.col("n"))),

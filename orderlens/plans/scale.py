@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 # Rows a small side may hold before it is no longer broadcast or read by the driver.
 BROADCAST_ROWS = 50_000
 DRIVER_ROWS = 5_000
-SALTS = 16
+SALTS = 8
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -45,45 +45,49 @@ def bounded_rows(df: DataFrame, what: str, limit: int = DRIVER_ROWS) -> list:
 
 
 def over_distinct(df: DataFrame, keys: list[str], enrich, row_id: str | None = None) -> DataFrame:
-    """Run enrich once per distinct key and join the result back to every row."""
+    """Run enrich once per distinct key and join the result back to every row.
+
+    With a row_id the join is salted, for raw rows where one key may hold a large share of all
+    rows. Without one the input is already aggregated and adaptive skew splitting is enough.
+    """
     enriched = enrich(df.select(*keys).distinct())
+    if row_id is None:
+        return df.join(enriched, keys, "left")
     return salted_lookup(df, enriched, keys, row_id)
 
 
-def salted_lookup(big: DataFrame, small: DataFrame, keys: list[str], row_id: str | None = None,
+def salted_lookup(big: DataFrame, small: DataFrame, keys: list[str], row_id: str,
                   how: str = "left", salts: int = SALTS) -> DataFrame:
     """Equi join in which the rows of one hot key spread over several tasks.
 
-    ``small`` holds one row per key. Rows of ``big`` get a salt from row_id (or from all columns),
-    rows of ``small`` are repeated once per salt.
+    ``small`` holds one row per key. Rows of ``big`` get a salt from row_id, rows of ``small`` are
+    repeated once per salt.
     """
-    source = [F.col(row_id)] if row_id else [F.col(c) for c in big.columns
-                                             if not _is_map(big, c)]
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*source), F.lit(salts)).cast("int"))
+    salted = big.withColumn("_salt", F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
-def _is_map(df: DataFrame, column: str) -> bool:
-    return "map<" in df.schema[column].dataType.simpleString()
-
-
-def running_rank(df: DataFrame, keys: list[str], seq: str, name: str,
-                 bucket: int = 100_000) -> DataFrame:
-    """1-based position of each row among the rows of its key, ordered by an integer sequence.
+def ordered_rank(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """1-based position of each row among the rows of its key, in a given order.
 
-    Positions are counted inside ranges of the sequence and shifted by the counts of the earlier
-    ranges, so no task sees more than one range of a hot key.
+    Rows are range-partitioned by key and order, numbered inside their partition and shifted by
+    the counts of earlier partitions, so a hot key never meets in one task. The numbered rows are
+    materialised, because the numbers must not change if a task runs again.
     """
     from pyspark.sql import Window
-    ranged = df.withColumn("_range", F.floor(F.col(seq) / bucket))
-    counts = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(
+    numbered = cut_lineage(
+        df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+        .withColumn("_seq", F.monotonically_increasing_id())
+        .withColumn("_part", F.shiftright("_seq", 33)))
+    starts = numbered.groupBy(*keys, "_part").agg(
+        F.min("_seq").alias("_start"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(
         Window.unboundedPreceding, -1)
-    shift = counts.withColumn("_shift", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
-    inside = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(seq))
-    return (ranged.withColumn("_at", inside).join(shift, [*keys, "_range"])
-            .withColumn(name, F.col("_at") + F.col("_shift")).drop("_at", "_range", "_shift"))
+    shift = starts.withColumn("_shift", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    return (numbered.join(shift, [*keys, "_part"])
+            .withColumn(name, F.col("_seq") - F.col("_start") + 1 + F.col("_shift"))
+            .drop("_seq", "_part", "_start", "_shift"))
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int,
