@@ -18,7 +18,7 @@ MIN_ADJUSTED_SILHOUETTE = 0.18
 MAX_CLUSTERS = 8
 COUNT_PENALTY, SINGLETON_PENALTY = 0.05, 0.12
 # Groups above this size are merged by distributed rounds before one task finishes them.
-MAX_GROUP = 2000
+MAX_GROUP = 1500
 SLICES = 64
 
 
@@ -34,7 +34,6 @@ def _cuts(sums: np.ndarray, counts: np.ndarray, largest: int) -> dict[int, np.nd
     np.fill_diagonal(similarity, -np.inf)
     size = counts.astype(float).copy()
     label = np.arange(n)
-    alive = np.ones(n, dtype=bool)
     cuts = {}
     for remaining in range(n, 1, -1):
         if remaining <= largest:
@@ -45,9 +44,6 @@ def _cuts(sums: np.ndarray, counts: np.ndarray, largest: int) -> dict[int, np.nd
         similarity[a], similarity[:, a] = row, row
         similarity[b], similarity[:, b] = -np.inf, -np.inf
         similarity[a, a] = -np.inf
-        similarity[a, ~alive] = similarity[~alive, a] = -np.inf
-        alive[b] = False
-        similarity[a, b] = similarity[b, a] = -np.inf
         size[a] += size[b]
         label[label == b] = a
     return cuts
@@ -168,14 +164,14 @@ def _cut_parts(parts: pd.DataFrame) -> pd.DataFrame:
 def _slice_silhouettes(key, points: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
     """Task kernel: silhouette totals of one slice of a variety for every cut."""
     out = []
-    vectors = None if points.empty else np.stack(points["vector"].to_numpy())
-    if vectors is not None:
-        for k, cut in sums.sort_values("label").groupby("k"):
-            label = np.array([dict(zip(row["ks"], row["labels"]))[k]
-                              for _, row in points[["ks", "labels"]].iterrows()])
-            score = point_silhouettes(vectors, label, np.stack(cut["total"].to_numpy()),
+    if not points.empty:
+        vectors = np.stack(points["vector"].to_numpy())
+        labels = np.stack(points["labels"].to_numpy())
+        for at, k in enumerate(points["ks"].iloc[0]):
+            cut = sums[sums["k"] == k].sort_values("label")
+            score = point_silhouettes(vectors, labels[:, at], np.stack(cut["total"].to_numpy()),
                                       cut["n"].to_numpy().astype(float))
-            out.append((key[0], k, float(score.sum()), len(score)))
+            out.append((key[0], int(k), float(score.sum()), len(score)))
     return pd.DataFrame(out, columns=["by1", "k", "score", "points"])
 
 
