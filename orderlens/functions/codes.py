@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import blank, first_group, normalize_code, rx, strip, sub
+from .text import blank, first_group, let, normalize_code, strip
 
 SPEC_PATTERN = r"^([A-Z]+)([0-9]+(?:\.[0-9]+)?)$"
 
@@ -36,47 +36,59 @@ def is_nonstandard_spec(spec: Column) -> Column:
 
 
 def parse_product_code(code: Column, by1: Column, spec: Column, material: Column) -> Column:
-    """Struct of the segments of ``<prefix><by1>_<spec>_<form><material><surface>``."""
-    raw, want_by1 = normalize_code(code), normalize_code(by1)
-    want_spec, want_material = normalize_code(spec), normalize_code(material)
-    parts = F.split(raw, "_")
-    first_filled = F.array_position(F.transform(parts, lambda p: p != ""), F.lit(True))
-    at = F.when(want_spec == "", first_filled).otherwise(F.array_position(parts, want_spec)).cast("int")
-    found = (at > 1) & (at < F.size(parts))
-
-    def joined(start: Column, length: Column) -> Column:
-        return F.array_join(F.slice(parts, start, F.greatest(length, F.lit(0))), "_")
-
-    head = joined(F.lit(1), at - 1)
-    tail = joined(F.greatest(at, F.lit(0)) + 1, F.size(parts) - at)
-    cut = F.when(want_material == "", F.lit(0)).otherwise(F.position(want_material, tail))
-    form = F.regexp_replace(F.substring(tail, F.lit(1), cut - 1), r"^_+|_+$", "")
-    surface = F.regexp_replace(
-        F.substring(tail, cut + F.length(want_material), F.length(tail)), r"^_+|_+$", "")
-    ends = (want_by1 != "") & F.endswith(head, want_by1)
-    lead = F.length(head) - F.length(want_by1)
-    prefix = F.when(ends & (lead == 1), F.left(head, F.lit(1))).otherwise(F.lit(""))
-    status = (
-        F.when(raw == "", "missing_code")
-        .when(~found, "spec_segment_not_found")
-        .when(cut == 0, "material_not_found")
-        .when(~ends, "by1_mismatch")
-        .when(form == "", "empty_form_code")
-        .when((head != want_by1) & (prefix == ""), "business_prefix_missing")
-        .otherwise("ok")
-    )
-    split_ok, segments_ok = found & (raw != ""), found & (cut > 0) & (raw != "")
-    none = F.lit("")
-    return F.struct(
-        raw.alias("raw_code"),
-        F.when(split_ok, head).otherwise(none).alias("code_by1"),
-        F.when(split_ok, prefix).otherwise(none).alias("business_prefix"),
-        F.when(split_ok, F.get(parts, at - 1)).otherwise(none).alias("specification"),
-        F.when(segments_ok, form).otherwise(none).alias("form_code"),
-        F.when(segments_ok, want_material).otherwise(none).alias("material"),
-        F.when(segments_ok, surface).otherwise(none).alias("surface"),
-        status.alias("status"),
-    )
+    """Struct of the segments of ``<prefix><by1>_<spec>_<form><material><surface>``.
+
+    Every step is bound once, so filters on the result stay small when they are pushed down.
+    """
+    none, edge = F.lit(""), r"^_+|_+$"
+    inputs = F.struct(normalize_code(code).alias("raw"), normalize_code(by1).alias("by1"),
+                      normalize_code(spec).alias("spec"), normalize_code(material).alias("mat"))
+
+    def locate(i: Column) -> Column:
+        parts = F.split(i["raw"], "_")
+        at = F.when(i["spec"] == "", F.length(F.regexp_extract(i["raw"], "^_*", 0)) + 1).otherwise(
+            F.array_position(parts, i["spec"])).cast("int")
+        return let(F.struct(parts.alias("parts"), at.alias("at")), lambda p: cut_up(i, p))
+
+    def cut_up(i: Column, p: Column) -> Column:
+        found = (i["raw"] != "") & (p["at"] > 1) & (p["at"] < F.size(p["parts"]))
+        head = F.array_join(F.slice(p["parts"], F.lit(1), F.greatest(p["at"] - 1, F.lit(0))), "_")
+        tail = F.array_join(F.slice(p["parts"], F.greatest(p["at"], F.lit(0)) + 1,
+                                    F.size(p["parts"])), "_")
+        segments = F.struct(
+            found.alias("found"), F.when(found, head).otherwise(none).alias("head"),
+            F.when(found, tail).otherwise(none).alias("tail"),
+            F.when(found, F.get(p["parts"], p["at"] - 1)).otherwise(none).alias("spec"))
+        return let(segments, lambda s: split_tail(i, s))
+
+    def split_tail(i: Column, s: Column) -> Column:
+        cut = F.when(i["mat"] != "", F.position(i["mat"], s["tail"])).otherwise(0)
+        ends = (i["by1"] != "") & F.endswith(s["head"], i["by1"])
+
+        def finish(x: Column) -> Column:
+            form = F.when(x["cut"] > 0, F.regexp_replace(
+                F.substring(s["tail"], F.lit(1), x["cut"] - 1), edge, "")).otherwise(none)
+            surface = F.when(x["cut"] > 0, F.regexp_replace(F.substring(
+                s["tail"], x["cut"] + F.length(i["mat"]), F.length(s["tail"])), edge, "")
+            ).otherwise(none)
+            single = F.length(s["head"]) - F.length(i["by1"]) == 1
+            prefix = F.when(x["ends"] & single, F.left(s["head"], F.lit(1))).otherwise(none)
+            return let(F.struct(form.alias("form"), prefix.alias("prefix")), lambda y: F.struct(
+                i["raw"].alias("raw_code"), s["head"].alias("code_by1"),
+                y["prefix"].alias("business_prefix"), s["spec"].alias("specification"),
+                y["form"].alias("form_code"),
+                F.when(x["cut"] > 0, i["mat"]).otherwise(none).alias("material"),
+                surface.alias("surface"),
+                F.when(i["raw"] == "", "missing_code")
+                .when(~s["found"], "spec_segment_not_found")
+                .when(x["cut"] == 0, "material_not_found").when(~x["ends"], "by1_mismatch")
+                .when(y["form"] == "", "empty_form_code")
+                .when((s["head"] != i["by1"]) & (y["prefix"] == ""), "business_prefix_missing")
+                .otherwise("ok").alias("status")))
+
+        return let(F.struct(cut.alias("cut"), ends.alias("ends")), finish)
+
+    return let(inputs, locate)
 
 
 # RFC 4122 namespaces for DNS names and URLs.
@@ -178,44 +190,43 @@ def decode_model(model: Column) -> Column:
     """Struct of a valve model: decoded fields, standard product and a status."""
     m = f"[{BODY_MATERIAL_CODES}]"
     types = "|".join([*TYPE_TWO, *TYPE_ONE])
-    text = strip(blank(model))
-    clean = F.regexp_replace(F.upper(text), r"[^A-Za-z0-9]+", "")
-    direct = clean.rlike(f"^(?:{types})")
-    base = F.when(direct, clean).otherwise(F.substring(clean, F.lit(2), F.length(clean)))
-    known = base.rlike(f"^(?:{types})")
-    kind = F.regexp_extract(base, f"^({types})", 1)
-    body = F.substring(base, F.length(kind) + 1, F.length(base))
-    # Up to the first material letter behind a digit, else up to the last material letter.
-    after_digit = F.regexp_extract(body, f"^(.*?[0-9]{m})", 1)
-    standard_body = F.when(after_digit != "", after_digit).otherwise(
-        F.regexp_extract(body, f"^(.*{m})", 1))
-    core = F.substring(standard_body, F.lit(1), F.length(standard_body) - 1)
-    material = F.right(standard_body, F.lit(1))
-    may_act = ~kind.isin(NO_ACTUATION_TYPES)
-    driven = may_act & core.rlike("^[0-9]{3}")
-    by_hand = may_act & ~driven & core.rlike("^[0-9]{2}")
-    rest = F.when(driven, F.substring(core, F.lit(2), F.length(core))).otherwise(core)
-    structure_digit = F.regexp_extract(rest, "^.([0-9])", 1)
-    family = lookup(STRUCTURE_FAMILY, kind)
-    structure = F.when(family == "Z", lookup(STRUCTURE["Z"], structure_digit)).when(
-        family == "D", lookup(STRUCTURE["D"], structure_digit)).when(
-        family == "H", lookup(STRUCTURE["H"], structure_digit))
-    status = (
-        F.when(text == "", "empty")
-        .when(~known, "unknown_type")
-        .when(standard_body == "", "material_not_found")
-        .otherwise("ok")
-    )
-    ok = status == "ok"
-    return F.struct(
-        F.when(ok, F.coalesce(lookup(TYPE_TWO, kind), lookup(TYPE_ONE, kind))).alias("type"),
-        F.when(ok & driven, lookup(ACTUATION, F.left(core, F.lit(1))))
-        .when(ok & by_hand, F.lit("手动驱动")).alias("driveMode"),
-        F.when(ok, lookup(CONNECTION, F.left(rest, F.lit(1)))).alias("connectMode"),
-        F.when(ok, structure).alias("form"),
-        F.when(ok, lookup(SEAL, material)).alias("material"),
-        F.when(ok, F.concat(kind, standard_body)).alias("standardizedProduct"),
-        status.alias("status"),
-    )
-
 
+    def find_type(text: Column) -> Column:
+        clean = F.regexp_replace(F.upper(text), r"[^A-Za-z0-9]+", "")
+        base = F.when(clean.rlike(f"^(?:{types})"), clean).otherwise(
+            F.substring(clean, F.lit(2), F.length(clean)))
+        return let(base, lambda b: let(F.regexp_extract(b, f"^({types})", 1), lambda kind: cut_body(
+            text, kind, F.substring(b, F.length(kind) + 1, F.length(b)))))
+
+    def cut_body(text: Column, kind: Column, body: Column) -> Column:
+        # Up to the first material letter behind a digit, else up to the last material letter.
+        standard = F.coalesce(first_group(body, f"^(.*?[0-9]{m})"), first_group(body, f"^(.*{m})"),
+                              F.lit(""))
+        status = (F.when(text == "", "empty").when(kind == "", "unknown_type")
+                  .when(standard == "", "material_not_found")
+                  .otherwise("ok"))
+        return let(F.struct(kind.alias("kind"), standard.alias("body"), status.alias("status")),
+                   decode)
+
+    def decode(x: Column) -> Column:
+        core = F.substring(x["body"], F.lit(1), F.length(x["body"]) - 1)
+        may_act = ~x["kind"].isin(NO_ACTUATION_TYPES)
+        driven = may_act & core.rlike("^[0-9]{3}")
+        by_hand = may_act & ~driven & core.rlike("^[0-9]{2}")
+        rest = F.when(driven, F.substring(core, F.lit(2), F.length(core))).otherwise(core)
+        digit = F.regexp_extract(rest, "^.([0-9])", 1)
+        family = lookup(STRUCTURE_FAMILY, x["kind"])
+        structure = F.coalesce(*[F.when(family == name, lookup(table, digit))
+                                 for name, table in STRUCTURE.items()])
+        ok = x["status"] == "ok"
+        return F.struct(
+            F.when(ok, lookup({**TYPE_ONE, **TYPE_TWO}, x["kind"])).alias("type"),
+            F.when(ok & driven, lookup(ACTUATION, F.left(core, F.lit(1))))
+            .when(ok & by_hand, F.lit("手动驱动")).alias("driveMode"),
+            F.when(ok, lookup(CONNECTION, F.left(rest, F.lit(1)))).alias("connectMode"),
+            F.when(ok, structure).alias("form"),
+            F.when(ok, lookup(SEAL, F.right(x["body"], F.lit(1)))).alias("material"),
+            F.when(ok, F.concat(x["kind"], x["body"])).alias("standardizedProduct"),
+            x["status"].alias("status"))
+
+    return let(strip(blank(model)), find_type)

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .codes import lookup, normalize_number
-from .text import all_groups, collapse, first_group, matches, rx
+from .text import all_groups, collapse, first_group, let, matches, rx
 
 # Nominal sizes.
 INCH_TO_DN = {1.5: 40, 2: 50, 2.5: 65, 3: 80, 4: 100, 5: 125, 6: 150, 8: 200, 10: 250, 12: 300,
@@ -56,28 +56,34 @@ def plain_int(digits: Column) -> Column:
 
 def inch_value(text: Column) -> Column:
     """``1 1/2``, ``3/4`` or ``4`` as a double; 0 for anything else."""
-    whole = first_group(text, r"^(\d+)\s+\d+/\d+$").try_cast("double")
-    top = first_group(text, r"^(?:\d+\s+)?(\d+)/\d+$").try_cast("double")
-    bottom = first_group(text, r"^(?:\d+\s+)?\d+/(\d+)$").try_cast("double")
-    fraction = F.coalesce(whole, F.lit(0.0)) + F.try_divide(top, bottom)
-    return F.coalesce(F.when(F.contains(text, F.lit("/")), fraction)
+    def parse(parts: Column) -> Column:
+        whole = F.coalesce(F.nullif(F.get(parts, F.lit(0)), F.lit("")).try_cast("double"),
+                           F.lit(0.0))
+        return whole + F.try_divide(F.get(parts, F.lit(1)).try_cast("double"),
+                                    F.get(parts, F.lit(2)).try_cast("double"))
+
+    pieces = F.split(F.regexp_replace(text, rx(r"^(?:(\d+)\s+)?(\d+)/(\d+)$"), "$1|$2|$3"), r"\|")
+    return F.coalesce(F.when(F.contains(text, F.lit("/")), parse(pieces))
                       .otherwise(text.try_cast("double")), F.lit(0.0))
 
 
-def format_inch(inch: Column) -> Column:
+def format_inch(value: Column) -> Column:
     """A double as ``4``, ``2 1/2`` or, without a common fraction, one decimal."""
-    whole = F.floor(inch).cast("bigint")
-    rest = inch - F.floor(inch)
+    def write(inch: Column) -> Column:
+        whole = F.floor(inch).cast("bigint")
+        rest = inch - F.floor(inch)
 
-    def near(x: float) -> Column:
-        return F.abs(rest - F.lit(x)) < 0.01
+        def near(x: float) -> Column:
+            return F.abs(rest - F.lit(x)) < 0.01
 
-    common = (F.when(near(0.25), "1/4").when(near(0.5), "1/2").when(near(0.75), "3/4")
-              .when(near(0.333), "1/3").when(near(0.667), "2/3"))
-    with_whole = F.when(whole > 0, F.concat_ws(" ", whole.cast("string"), common)).otherwise(common)
-    return (F.when(rest == 0, whole.cast("string"))
-            .when(common.isNotNull(), with_whole)
-            .otherwise(F.format_string("%.1f", inch)))
+        common = (F.when(near(0.25), "1/4").when(near(0.5), "1/2").when(near(0.75), "3/4")
+                  .when(near(0.333), "1/3").when(near(0.667), "2/3"))
+        return (F.when(rest == 0, whole.cast("string"))
+                .when(common.isNotNull(), F.concat_ws(
+                    " ", F.when(whole > 0, whole.cast("string")), common))
+                .when(inch.isNotNull(), F.format_string("%.1f", inch)))
+
+    return let(value, write)
 
 
 def _double_keys(table: dict) -> dict:
@@ -89,34 +95,34 @@ def nominal_size(text: Column) -> Column:
     number = r"(\d+(?:\s+\d+/\d+)?)"
     pair = number + r'\s*"\s*/\s*(?:DN(\d+)|(\d+(?:\.\d+)?)\s*MM)'
     # The blank inside a mixed fraction is dropped before parsing: 1 1/2 reads as 11/2 here.
-    pair_inch = format_inch(inch_value(F.replace(F.regexp_extract(text, rx(pair), 1), F.lit(" "),
-                                                 F.lit(""))))
-    pair_dn = first_group(text, pair, 2)
-    pair_mm = first_group(text, pair, 3).try_cast("double")
-    mm_int = pair_mm.cast("bigint")
-    mm_dn = F.coalesce(lookup({k: str(v) for k, v in MM_TO_DN.items()}, mm_int.cast("int")),
-                       mm_int.cast("string"))
-    inch_text = first_group(text, number + r'\s*"', 1)
-    lead_text = first_group(text, "^" + number + r"\s", 1)
-    dn = plain_int(first_group(text, r"DN(\d+)"))
-
-    def inch_only(value: Column) -> Column:
-        inch = inch_value(value)
-        size = lookup(_double_keys(INCH_TO_DN), inch)
-        return F.concat(format_inch(inch), F.lit('"'),
-                        F.when(size.isNotNull(), F.concat(F.lit("/DN"), size)).otherwise(F.lit("")))
-
-    dn_inch = lookup({v: float(k) for k, v in INCH_TO_DN.items()}, dn.try_cast("int"))
-    return (
-        F.when(plain_int(pair_dn) != "0",
-               F.concat(pair_inch, F.lit('"/DN'), plain_int(pair_dn)))
-        .when(pair_dn.isNull() & (pair_mm > 0), F.concat(pair_inch, F.lit('"/DN'), mm_dn))
-        .when(inch_text.isNotNull(), inch_only(inch_text))
-        .when(dn_inch.isNotNull(), F.concat(format_inch(dn_inch), F.lit('"/DN'), dn))
-        .when(dn.isNotNull(), F.concat(F.lit("DN"), dn))
-        .when(lead_text.isNotNull(), inch_only(lead_text))
-        .otherwise(F.lit(""))
-    )
+    pair_inch = F.replace(F.regexp_extract(text, rx(pair), 1), F.lit(" "), F.lit(""))
+    found = F.struct(
+        pair_inch.alias("pair_inch"), plain_int(first_group(text, pair, 2)).alias("pair_dn"),
+        first_group(text, pair, 3).try_cast("double").alias("pair_mm"),
+        first_group(text, number + r'\s*"', 1).alias("inch"),
+        plain_int(first_group(text, r"DN(\d+)")).alias("dn"),
+        first_group(text, "^" + number + r"\s", 1).alias("lead"))
+
+    def write(f: Column) -> Column:
+        mm_int = f["pair_mm"].cast("bigint")
+        mm_dn = F.coalesce(lookup({k: str(v) for k, v in MM_TO_DN.items()}, mm_int.cast("int")),
+                           mm_int.cast("string"))
+        paired = F.when(f["pair_dn"] != "0", f["pair_dn"]).when(
+            f["pair_dn"].isNull() & (f["pair_mm"] > 0), mm_dn)
+        dn_inch = lookup({v: float(k) for k, v in INCH_TO_DN.items()}, f["dn"].try_cast("int"))
+        # One (inch, DN) choice, in order of precedence; each part may be missing.
+        choice = F.coalesce(
+            F.when(paired.isNotNull(), F.struct(inch_value(f["pair_inch"]).alias("inch"),
+                                                paired.alias("dn"))),
+            F.when(f["inch"].isNotNull(), let(inch_value(f["inch"]), lambda v: F.struct(
+                v.alias("inch"), lookup(_double_keys(INCH_TO_DN), v).alias("dn")))),
+            F.when(f["dn"].isNotNull(), F.struct(dn_inch.alias("inch"), f["dn"].alias("dn"))),
+            F.when(f["lead"].isNotNull(), let(inch_value(f["lead"]), lambda v: F.struct(
+                v.alias("inch"), lookup(_double_keys(INCH_TO_DN), v).alias("dn")))))
+        return let(choice, lambda c: F.concat_ws(
+            "/", F.concat(format_inch(c["inch"]), F.lit('"')), F.concat(F.lit("DN"), c["dn"])))
+
+    return let(found, write)
 
 
 def pressure(text: Column) -> Column:
@@ -141,36 +147,34 @@ def design_size(text: Column, connection: Column) -> Column:
     """Size as the connection writes it: outside diameter for grooved ends, DN for flat ends."""
     number = r"((?:\d+\s+\d+/\d+|\d+/\d+|\d+))"
     pair = number + r'\s*"\s*/\s*(?:DN\s*(\d+)|(\d+(?:\.\d+)?)\s*MM)'
-    left = collapse(first_group(text, pair, 1))
-    grooved = connection == "GROOVED"
     dn_to_od = {k: str(v) for k, v in DESIGN_DN_TO_OD.items()}
     od_to_dn = {v: str(k) for k, v in DESIGN_DN_TO_OD.items()}
-    pair_dn = plain_int(first_group(text, pair, 2))
-    pair_od = first_group(text, pair, 3)
-    od_number = pair_od.try_cast("double")
-    od_text = plain_int(normalize_number(pair_od))
-    flat_dn = F.when(connection.isin("FLANGED", "WAFER", "LUG", "LUG WAFER"),
-                     lookup(od_to_dn, F.rint(od_number).cast("int")))
-    dn = plain_int(first_group(text, r"\bDN\s*(\d+)\b"))
-    dn_inch = lookup(DESIGN_DN_TO_INCH, dn.try_cast("int"))
-    inch = collapse(first_group(text, number + r'\s*"', 1))
+    found = F.struct(
+        connection.alias("connection"), collapse(first_group(text, pair, 1)).alias("left"),
+        plain_int(first_group(text, pair, 2)).alias("pair_dn"),
+        first_group(text, pair, 3).alias("pair_od"),
+        plain_int(first_group(text, r"\bDN\s*(\d+)\b")).alias("dn"),
+        collapse(first_group(text, number + r'\s*"', 1)).alias("inch"))
 
     def size(inches: Column, mark: str, value: Column, unit: str = "") -> Column:
         return F.concat(inches, F.lit('"/' + mark), value, F.lit(unit))
 
-    def od_of(value: Column) -> Column:
-        return F.when(grooved, lookup(dn_to_od, value.try_cast("int")))
+    def write(f: Column) -> Column:
+        flat_dn = F.when(f["connection"].isin("FLANGED", "WAFER", "LUG", "LUG WAFER"), lookup(
+            od_to_dn, F.rint(f["pair_od"].try_cast("double")).cast("int")))
+        dn_inch = lookup(DESIGN_DN_TO_INCH, f["dn"].try_cast("int"))
+
+        def od_of(value: Column) -> Column:
+            return F.when(f["connection"] == "GROOVED", lookup(dn_to_od, value.try_cast("int")))
 
-    return F.coalesce(
-        size(left, "", od_of(pair_dn), "MM"),
-        size(left, "DN", pair_dn),
-        size(left, "DN", flat_dn),
-        size(left, "", od_text, "MM"),
-        size(dn_inch, "", od_of(dn), "MM"),
-        size(dn_inch, "DN", dn),
-        F.concat(F.lit("DN"), dn),
-        F.concat(inch, F.lit('"')),
-    )
+        return F.coalesce(
+            size(f["left"], "", od_of(f["pair_dn"]), "MM"),
+            size(f["left"], "DN", f["pair_dn"]), size(f["left"], "DN", flat_dn),
+            size(f["left"], "", plain_int(normalize_number(f["pair_od"])), "MM"),
+            size(dn_inch, "", od_of(f["dn"]), "MM"), size(dn_inch, "DN", f["dn"]),
+            F.concat(F.lit("DN"), f["dn"]), F.concat(f["inch"], F.lit('"')))
+
+    return let(found, write)
 
 
 def _valid(values: Column) -> Column:
@@ -195,77 +199,84 @@ def _largest(values: Column) -> Column:
 def _inches(text: Column) -> Column:
     """``2 1/2``, ``2-1/2``, ``21/2``, ``3/4`` or ``4.5`` as decimal inches."""
     flat = collapse(F.regexp_replace(text, r"\s*-\s*", " "))
-    glued = flat.rlike(r"^[1-9]\d+/") | flat.rlike(r"^0+[1-9]\d+/")
-    whole = F.coalesce(
-        first_group(flat, r"^(\d+) \d+/\d+$"),
-        F.when(glued, first_group(flat, r"^(\d+)\d/\d+$")),
-        F.lit("0")).try_cast(DECIMAL)
-    top = F.when(glued, first_group(flat, r"^\d*(\d)/\d+$")).otherwise(
-        first_group(flat, r"^(?:\d+ )?(\d+)/\d+$")).try_cast(DECIMAL)
-    bottom = first_group(flat, r"/(\d+)$").try_cast(DECIMAL)
-    mixed = flat.rlike(r"^\d+ \d+/")
-    plain_top = first_group(flat, r"(\d+)/\d+$").try_cast(DECIMAL)
-    fraction = F.when(mixed, whole + F.try_divide(plain_top, bottom)).otherwise(
-        whole + F.try_divide(top, bottom))
-    return F.when(F.contains(flat, F.lit("/")), fraction).otherwise(
-        flat.try_cast(DECIMAL)).try_cast(DECIMAL)
+    # A numerator of two or more digits, at least 10, hides the whole number in front.
+    opened = F.regexp_replace(F.regexp_replace(flat, r"^(0*[1-9]\d*)(\d)/", "$1 $2/"),
+                              r"^(?:(\d+) )?(\d+)/(\d+)$", "$1|$2|$3")
+
+    def value(parts: Column) -> Column:
+        def number(i: int) -> Column:
+            return F.nullif(F.get(parts, F.lit(i)), F.lit("")).try_cast(DECIMAL)
+        whole = F.coalesce(number(0), F.lit(0).cast(DECIMAL))
+        fraction = (whole + F.try_divide(number(1), number(2))).try_cast(DECIMAL)
+        return F.when(F.size(parts) == 3, fraction).otherwise(number(0))
+
+    return let(F.split(opened, r"\|"), value)
 
 
 def infer_size(description: Column) -> Column:
     """Struct (size, rule, reliability) of a deterministic size, null when it abstains."""
     text = description
-    upper = F.upper(text)
-    dn = _valid(all_groups(text, DN_PATTERN))
-    mm = F.transform(_valid(all_groups(text, MM_PATTERN)),
-                     lambda x: F.round(x.cast(DECIMAL), 0).cast("int").cast("string"))
-    grooved = matches(text, GROOVED_PATTERN)
-    suitable = matches(text, SUITABLE_PATTERN)
-    copper = matches(text, COPPER_PATTERN)
-    written = all_groups(text, INCH_PATTERN)
 
     def parsed(values: Column) -> Column:
         return F.filter(F.transform(values, _inches), lambda x: x.isNotNull() & (x > 0))
 
-    quoted = parsed(written)
-    inch = _last(F.when(F.size(quoted) > 0, quoted).otherwise(
-        parsed(all_groups(text, COPPER_INCH_PATTERN))))
-    tube = F.round((inch + F.lit("0.125").cast(DECIMAL)) * F.lit("25.4").cast(DECIMAL), 0)
-    product_od = F.lit(None).cast("string")
-    product = F.lit(False)
-    for code, table in GROOVED_PRODUCT_OD.items():
-        named = F.contains(upper, F.lit(code))
-        product = product | named
-        product_od = F.coalesce(product_od, F.when(
-            named, lookup(_double_keys(table), inch.cast("double"))))
-    mapped = F.when(copper, tube.cast("int").cast("string")).otherwise(
-        F.coalesce(product_od, lookup(_double_keys(GROOVED_INCH_TO_OD), inch.cast("double"))))
-    last_mm = _last(mm)
-    close = F.abs(last_mm.try_cast("int") - mapped.try_cast("int")) <= 3
-    mapped_dn = F.filter(F.transform(dn, lambda x: lookup(GROOVED_DN_TO_OD, x)),
-                         lambda x: x.isNotNull())
-
-    def pick(values: Column) -> Column:
-        return F.when(suitable, _largest(values)).otherwise(_last(values))
+    quoted = parsed(all_groups(text, INCH_PATTERN))
+    copper_inch = parsed(all_groups(text, COPPER_INCH_PATTERN))
+    inch = let(quoted, lambda q: F.when(F.size(q) > 0, _last(q)).otherwise(_last(copper_inch)))
+    found = F.struct(
+        _valid(all_groups(text, DN_PATTERN)).alias("dn"),
+        F.transform(_valid(all_groups(text, MM_PATTERN)), lambda x: F.round(
+            x.cast(DECIMAL), 0).cast("int").cast("string")).alias("mm"),
+        matches(text, GROOVED_PATTERN).alias("grooved"),
+        matches(text, SUITABLE_PATTERN).alias("suitable"),
+        matches(text, COPPER_PATTERN).alias("copper"),
+        F.when(matches(text, GROOVED_PATTERN), inch).alias("inch"),
+        *[F.contains(F.upper(text), F.lit(code)).alias(code) for code in GROOVED_PRODUCT_OD])
 
     def result(size: Column, rule: str) -> Column:
         return F.struct(size.alias("size"), F.lit(rule).alias("rule"),
                         F.lit(SIZE_RULE_RELIABILITY[rule]).alias("reliability"))
 
-    has_mm, has_dn = F.size(mm) > 0, F.size(dn) > 0
-    inch_path = grooved & mapped.isNotNull()
-    return (
-        F.when(inch_path & has_mm & close, result(last_mm, "grooved_explicit_mm"))
-        .when(inch_path & copper, result(mapped, "grooved_cts_inch_to_od"))
-        .when(inch_path & product, result(mapped, "grooved_product_inch_to_od"))
-        .when(inch_path, result(mapped, "grooved_inch_to_od"))
-        .when(grooved & has_mm, F.lit(None))
-        .when(grooved & (F.size(mapped_dn) > 0), result(pick(mapped_dn), "grooved_dn_to_od"))
-        .when(grooved, F.lit(None))
-        .when(has_mm & suitable, result(pick(mm), "suitable_range_max"))
-        .when(has_mm, result(pick(mm), "explicit_mm"))
-        .when(has_dn & suitable, result(pick(dn), "suitable_range_max"))
-        .when(has_dn, result(pick(dn), "dn_size"))
-    )
+    def pipe_diameter(f: Column) -> Column:
+        inches = f["inch"].cast("double")
+        tube = F.round((f["inch"] + F.lit("0.125").cast(DECIMAL))
+                       * F.lit("25.4").cast(DECIMAL), 0).cast("int").cast("string")
+        product = [F.when(f[code], lookup(_double_keys(table), inches))
+                   for code, table in GROOVED_PRODUCT_OD.items()]
+        return F.when(f["copper"], tube).otherwise(F.coalesce(
+            *product, lookup(_double_keys(GROOVED_INCH_TO_OD), inches)))
+
+    def pick(f: Column, values: Column) -> Column:
+        return F.when(f["suitable"], _largest(values)).otherwise(_last(values))
+
+    def grooved_size(f: Column) -> Column:
+        last_mm = _last(f["mm"])
+        by_dn = F.filter(F.transform(f["dn"], lambda x: lookup(GROOVED_DN_TO_OD, x)),
+                         lambda x: x.isNotNull())
+        product = F.lit(False)
+        for code in GROOVED_PRODUCT_OD:
+            product = product | f[code]
+
+        def with_diameter(od: Column) -> Column:
+            close = F.abs(last_mm.try_cast("int") - od.try_cast("int")) <= 3
+            return (F.when(close, result(last_mm, "grooved_explicit_mm"))
+                    .when(f["copper"], result(od, "grooved_cts_inch_to_od"))
+                    .when(product, result(od, "grooved_product_inch_to_od"))
+                    .otherwise(result(od, "grooved_inch_to_od")))
+
+        without = F.when(F.size(f["mm"]) == 0, let(by_dn, lambda v: F.when(
+            F.size(v) > 0, result(pick(f, v), "grooved_dn_to_od"))))
+        return let(pipe_diameter(f), lambda od: F.when(
+            od.isNotNull(), with_diameter(od)).otherwise(without))
+
+    def plain_size(f: Column) -> Column:
+        has_mm, has_dn = F.size(f["mm"]) > 0, F.size(f["dn"]) > 0
+        return (F.when(has_mm & f["suitable"], result(_largest(f["mm"]), "suitable_range_max"))
+                .when(has_mm, result(_last(f["mm"]), "explicit_mm"))
+                .when(has_dn & f["suitable"], result(_largest(f["dn"]), "suitable_range_max"))
+                .when(has_dn, result(_last(f["dn"]), "dn_size")))
+
+    return let(found, lambda f: F.when(f["grooved"], grooved_size(f)).otherwise(plain_size(f)))
 
 
 def size_candidates(description: Column) -> Column:

@@ -15,6 +15,11 @@ def rx(pattern: str) -> str:
     return UNICODE + pattern
 
 
+def let(value: Column, use) -> Column:
+    """Evaluate value once and hand it to use, however often use refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def has(text: Column, *needles: str) -> Column:
     """True if any of the literal needles occurs in the text."""
     return reduce(lambda a, b: a | b, [text.contains(n) for n in needles])
