@@ -12,8 +12,9 @@ from ..operators import history as H
 from ..operators import rules as R
 from ..operators.rules import mature_attribute_rules
 from ..plans import jobs as J
-from ..sources.orders import TRAIN_BEFORE, VALIDATION_BEFORE, window_tag
-from .inputs import history, holdout, keys, prepared, requests
+from ..plans.scale import cut_lineage
+from ..sources.orders import TRAIN_BEFORE, VALIDATION_BEFORE, order_history, window_tag
+from .inputs import history, keys, later, past, prepared, requests, stored
 from .oracle_parts import PARTS, first_hits, label, part, sql
 from .registry import query
 
@@ -96,6 +97,10 @@ def _tag(spark, d, form):
     return R.rule_rows(prepared(spark, d), form)
 
 
+def _form_rules(rows):
+    return R.prefix_rules(cut_lineage(R.rule_rows(rows, "form_code")), literal_spec=True)
+
+
 @query("prefix_purity", sql(
     'SELECT form, win AS "window", prefix, support::BIGINT AS support, round(purity, 9) AS purity FROM pur_tag_form', "pur_tag_form"))
 def prefix_purity(spark, d):
@@ -132,7 +137,7 @@ SELECT count(*) AS holdout_rows, count(*) FILTER (p IS NOT NULL) AS prefix_cover
 FROM (SELECT t.*, r.prefix AS p, s.size FROM tag_form t LEFT JOIN rules_tag_form r ON r.form = t.form JOIN sized s ON s.raw = t.raw WHERE win = 'holdout')""",
     "tag_form", "rules_tag_form", "sized"))
 def rule_holdout(spark, d):
-    tagged = _tag(spark, d, "form_code")
+    tagged = cut_lineage(_tag(spark, d, "form_code"))
     return R.rule_holdout(tagged, R.prefix_rules(tagged, literal_spec=True))
 
 
@@ -152,8 +157,9 @@ WHERE train_support >= 20 AND validation_support >= 5 AND value = vv AND vp = 1
 SELECT by1, form_code, field, value, 0.99::DOUBLE AS confidence, train_support::BIGINT AS train_support, validation_support::BIGINT AS validation_support,
   round_even(tp, 6) AS train_purity, round_even(vp, 6) AS validation_purity, true AS active FROM arules""", "arules"))
 def attribute_rules(spark, d):
-    rows = prepared(spark, d).groupBy(*DS.DESIGN_KEY, "date").agg(F.count(F.lit(1)).alias("n"))
-    seen = DS.only_valves(DS.observe(rows.select(*DS.DESIGN_KEY).distinct()))
+    rows = cut_lineage(prepared(spark, d).groupBy(*DS.DESIGN_KEY, "date").agg(
+        F.count(F.lit(1)).alias("n")))
+    seen = DS.only_valves(cut_lineage(DS.observe(rows.select(*DS.DESIGN_KEY).distinct())))
     return mature_attribute_rules(rows.join(seen.select(*DS.DESIGN_KEY, "attributes"),
                                             DS.DESIGN_KEY), "1998-12-31", "2000-06-30")
 
@@ -165,7 +171,8 @@ _NAME = "CASE level WHEN 'description_form' THEN 'description_form_code' WHEN 'r
 SELECT query, form_code, {_NAME} AS match_level, rank, value, round_even(n / total, 4) AS score, n::BIGINT AS support FROM by1_hit WHERE rank <= 5""",
     "by1_hit"))
 def exact_by1(spark, d):
-    answers = K.by1_answers(keys(holdout(spark, d)), H.evidence_levels(history(spark, d), "by1"))
+    rows = stored(spark, d)
+    answers = K.by1_answers(keys(later(rows)), H.evidence_levels(past(rows), "by1"))
     return answers.select("query", "form_code", F.col("by1_match_level").alias("match_level"),
                           F.explode("by1_candidates").alias("c")).select(
         "query", "form_code", "match_level", F.col("c.rank").cast("bigint").alias("rank"),
@@ -194,9 +201,9 @@ SELECT query, form_code, customer_key, match_level, rank, value, score, support,
     CASE WHEN level = 'rule' THEN 'high' ELSE {label('first_value(round_even(n / total, 4)) OVER w', 'first_value(n) OVER w')} END AS confidence
   FROM spec_hit WHERE rank <= 10 WINDOW w AS (PARTITION BY query, form_code, customer_key ORDER BY rank))""", "spec_hit"))
 def exact_spec(spark, d):
-    rules = R.prefix_rules(_tag(spark, d, "form_code"), literal_spec=True)
-    answers = K.spec_answers(keys(holdout(spark, d), customer=True),
-                             H.evidence_levels(history(spark, d), "spec"), rules)
+    rows = stored(spark, d)
+    answers = K.spec_answers(keys(later(rows), customer=True),
+                             H.evidence_levels(past(rows), "spec"), _form_rules(rows))
     return answers.select(
         "query", "form_code", "customer_key", F.col("spec_match_level").alias("match_level"),
         F.col("spec_confidence").alias("confidence"), blank(F.col("inferred_spec"))
@@ -239,9 +246,10 @@ def _legacy_rows(answers):
 
 @query("legacy_spec", sql("SELECT * FROM legacy_out WHERE rank <= 50", "legacy_out"))
 def legacy_spec(spark, d):
-    rules = R.prefix_rules(_tag(spark, d, "by1"))
-    asked = keys(holdout(spark, d), "by1", customer=True)
-    return _legacy_rows(K.legacy_answers(asked, H.legacy_evidence_levels(history(spark, d)), rules))
+    rows = stored(spark, d)
+    rules = R.prefix_rules(cut_lineage(R.rule_rows(rows, "by1")))
+    asked = keys(later(rows), "by1", customer=True)
+    return _legacy_rows(K.legacy_answers(asked, H.legacy_evidence_levels(past(rows)), rules))
 
 
 # Fuzzy inference.
@@ -265,15 +273,16 @@ def idf(spark, d):
     return Z.token_idf(history(spark, d)).select("token", "df", F.round("idf", 9).alias("idf"))
 
 
-def _unseen(spark, d, form="form_code", customer=False):
-    known = history(spark, d).select("description").distinct()
-    return keys(holdout(spark, d), form, customer).join(known, "description", "left_anti")
+def _unseen(rows, form="form_code", customer=False):
+    known = past(rows).select("description").distinct()
+    return keys(later(rows), form, customer).join(known, "description", "left_anti")
 
 
 @query("weighted_jaccard", sql("SELECT qd AS query, cd AS candidate, round(similarity, 6) AS similarity, rank FROM jac", "jac"))
 def weighted_jaccard(spark, d):
-    records = H.spec_records(history(spark, d)).select("description").distinct()
-    best = Z.best_descriptions(_unseen(spark, d), records, Z.token_idf(records))
+    rows = stored(spark, d)
+    records = cut_lineage(past(rows).select("description").distinct())
+    best = Z.best_descriptions(_unseen(rows), records, cut_lineage(Z.token_idf(records)))
     return best.select(F.col("qid").alias("query"), F.col("cid").alias("candidate"),
                        F.round("similarity", 6).alias("similarity"),
                        F.col("rank").cast("bigint").alias("rank"))
@@ -299,9 +308,10 @@ SELECT query, form_code, customer_key, 'fuzzy_description' AS match_level, rank,
 
 @query("fuzzy_rank", sql("SELECT * FROM fuzz_out", "fuzz_out"))
 def fuzzy_rank(spark, d):
-    rows = history(spark, d)
-    asked = _unseen(spark, d, "by1", customer=True).select(*K.KEY)
-    return _legacy_rows(Z.fuzzy_answers(asked, H.spec_records(rows), H.spec_record_customers(rows)))
+    rows = stored(spark, d)
+    asked = cut_lineage(_unseen(rows, "by1", customer=True).select(*K.KEY))
+    return _legacy_rows(Z.fuzzy_answers(asked, cut_lineage(H.spec_records(past(rows))),
+                                        H.spec_record_customers(past(rows))))
 
 
 @query("infer_spec", sql("""
@@ -310,11 +320,9 @@ SELECT h.row_id AS request_id, o.match_level, o.confidence, o.confidence_score,
     AND (query, form_code, customer_key) NOT IN (SELECT (query, form_code, customer_key) FROM legacy_out)) o
 ON o.query = h.raw_description AND o.form_code = h.by1 AND o.customer_key = h.customer_key""", "hold", "legacy_out", "fuzz_out"))
 def infer_spec(spark, d):
-    from ..plans.scale import cut_lineage
-    from ..sources.orders import order_history
-    rows = cut_lineage(prepared(spark, d))
+    rows = stored(spark, d)
     named = order_history(spark, d).select("row_id", "customer")
-    asked = holdout(spark, d).join(named, "row_id").select(
+    asked = later(rows).join(named, "row_id").select(
         F.col("row_id").alias("request_id"), F.col("raw_description").alias("query"), "customer",
         F.col("by1").alias("form_code"))
     answers = J.infer_specification(asked, J.build_spec_index(rows, VALIDATION_BEFORE),
@@ -328,10 +336,9 @@ SELECT h.row_id AS request_id, coalesce(b.lv, 'none') AS by1_match_level, coales
   SELECT query, form_code, any_value({_NAME}) AS lv, min_by(value, rank) AS v, max(total) AS support FROM by1_hit GROUP BY ALL) b ON b.query = h.raw_description AND b.form_code = h.form_code""",
     "hold", "by1_hit"))
 def recommend_exact(spark, d):
-    from ..plans.scale import cut_lineage
-    rows = cut_lineage(prepared(spark, d))
+    rows = stored(spark, d)
     index = J.build_recommendation_index(rows, VALIDATION_BEFORE)
-    r = J.recommend(requests(spark, d), index)
+    r = J.recommend(requests(rows), index)
     return r.select("request_id", "by1_match_level",
                     blank(F.col("by1_candidates")[0]["value"]).alias("by1_first"), "by1_support")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.scale import cut_lineage
 from ..sources.orders import (VALIDATION_BEFORE, before, holdout_rows, load_orders, load_points,
                               order_history, prepare_orders, read_table)
 
@@ -13,21 +14,30 @@ def prepared(spark: SparkSession, d: str) -> DataFrame:
     return prepare_orders(load_orders(order_history(spark, d)))
 
 
+def stored(spark: SparkSession, d: str) -> DataFrame:
+    """Prepared rows, parsed once and materialised, for queries that read them several times."""
+    return cut_lineage(prepared(spark, d))
+
+
 def history(spark: SparkSession, d: str) -> DataFrame:
-    return before(prepared(spark, d), VALIDATION_BEFORE)
+    return past(prepared(spark, d))
+
+
+def past(rows: DataFrame) -> DataFrame:
+    return before(rows, VALIDATION_BEFORE)
 
 
-def holdout(spark: SparkSession, d: str) -> DataFrame:
-    return holdout_rows(prepared(spark, d), VALIDATION_BEFORE)
+def later(rows: DataFrame) -> DataFrame:
+    return holdout_rows(rows, VALIDATION_BEFORE)
 
 
 def texts(spark: SparkSession, d: str) -> DataFrame:
     return order_history(spark, d).select("description").distinct()
 
 
-def requests(spark: SparkSession, d: str) -> DataFrame:
-    """Holdout orders as requests without a customer."""
-    return holdout(spark, d).select(F.col("row_id").alias("request_id"),
+def requests(rows: DataFrame) -> DataFrame:
+    """Holdout orders of prepared rows as requests without a customer."""
+    return later(rows).select(F.col("row_id").alias("request_id"),
                                     F.col("raw_description").alias("query"),
                                     F.lit("").alias("customer"), "form_code")
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions.codes import spec_number
 from ..functions.sizes import infer_size, size_candidates
 from ..functions.text import fingerprint, normalize_code, normalize_text, split_context
-from ..plans.scale import broadcast_if_small
 
 # Level orders. "rule" is the mature-rule step; "profile" and "fuzzy" are the last resorts.
 BY1_ORDER = ["description_form_customer", "description_form", "description_customer",
@@ -89,7 +88,7 @@ def rule_hits(keys: DataFrame, rules: DataFrame) -> DataFrame:
     """Mature prefix rules whose form and inferred size both apply."""
     prefixes = rules.filter(F.col("prefix").rlike(r"^\p{L}+$")).select(
         F.col("form").alias("form_code"), "prefix", "train_support", "validation_support")
-    joined = keys.join(broadcast_if_small(prefixes), "form_code")
+    joined = keys.join(prefixes, "form_code")
     sizes = joined.withColumn("size", infer_size(F.col("query"))).filter(
         F.col("size").isNotNull())
     support = F.col("train_support") + F.col("validation_support")

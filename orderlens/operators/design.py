@@ -11,7 +11,7 @@ from ..functions.codes import design_template_id
 from ..functions.sizes import design_pressure, design_size
 from ..functions.standardize import EVIDENCE_TYPE
 from ..functions.text import blank, collapse, matches, strip
-from ..plans.scale import broadcast_if_small, cut_lineage, over_distinct, salted_lookup, top_k
+from ..plans.scale import cut_lineage, over_distinct, salted_lookup, top_k
 from .dictionary import Dictionary, apply_exceptions, default_dictionary, match_terms
 from .rules import mature_attribute_rules
 
@@ -149,7 +149,7 @@ def overlay_rules(rows: DataFrame, rules: DataFrame) -> DataFrame:
         "field", F.struct("value", F.lit("mature_rule").alias("source"), "confidence",
                           F.lit("validated historical rule").alias("evidence")))))
         .alias("values"))
-    packed = broadcast_if_small(cut_lineage(packed))
+    packed = cut_lineage(packed)
     general = packed.filter(F.col("form_code") == "").select(
         F.col("by1").alias("r_by1"), F.col("values").alias("general"))
     special = packed.filter(F.col("form_code") != "").select(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sizes import infer_size
-from ..plans.scale import broadcast_if_small, over_distinct
+from ..plans.scale import over_distinct
 from ..sources.orders import TRAIN_BEFORE, VALIDATION_BEFORE, window_tag
 
 # Fields whose rules need full purity in the train window.
@@ -67,7 +67,7 @@ def prefix_rules(tagged: DataFrame, min_train: int = 20, min_validation: int = 5
     """
     actual = F.col("spec") if literal_spec else F.concat("spec_prefix", "spec_size")
     gated = prefix_gate(prefix_purity(tagged), min_train, min_validation)
-    sized = _sized(tagged.join(broadcast_if_small(gated), "form"))
+    sized = _sized(tagged.join(gated, "form"))
     has_size = F.col("inferred").isNotNull()
     right = has_size & (F.concat("prefix", "inferred.size") == actual)
 
@@ -90,7 +90,7 @@ def prefix_rules(tagged: DataFrame, min_train: int = 20, min_validation: int = 5
 def rule_holdout(tagged: DataFrame, rules: DataFrame) -> DataFrame:
     """One row: coverage and accuracy of the rules on the holdout window."""
     holdout = tagged.filter(F.col("window") == "holdout")
-    joined = _sized(holdout.join(broadcast_if_small(rules.select("form", "prefix")), "form", "left"))
+    joined = _sized(holdout.join(rules.select("form", "prefix"), "form", "left"))
     ruled = F.col("prefix").isNotNull()
     sized = ruled & F.col("inferred").isNotNull()
     right_prefix = ruled & (F.col("prefix") == F.col("spec_prefix"))

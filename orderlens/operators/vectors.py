@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import blank, normalize_code
 from ..functions.vectors import SCORE_DIGITS, unit
-from ..plans.scale import broadcast_if_small, salted_lookup, top_k
+from ..plans.scale import salted_lookup, top_k
 
 TILE_ROWS = 4096
 CHILD_POOL = 300
@@ -253,5 +253,4 @@ def search_descriptions(requests: DataFrame, children: DataFrame, parents: DataF
         return named.withColumn("matched_specs", F.lit(None).cast("array<string>"))
     asked = requests.select(F.col("request_id").cast("string").alias("request_id"), "customer")
     rules = customer_specs.select("product_name", "customer", F.col("specs").alias("matched_specs"))
-    return named.join(asked, "request_id").join(
-        broadcast_if_small(rules), ["product_name", "customer"], "left")
+    return named.join(asked, "request_id").join(rules, ["product_name", "customer"], "left")

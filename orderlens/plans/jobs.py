@@ -20,13 +20,13 @@ def build_recommendation_index(rows: DataFrame, before_date: str | None = None,
                                validation_before: str = VALIDATION_BEFORE) -> dict:
     """Records, counters, evidence tables, form rules and profile from prepared order rows."""
     index = before(rows, before_date)
-    tagged = rules.rule_rows(index, "form_code", train_before, validation_before)
+    tagged = cut_lineage(rules.rule_rows(index, "form_code", train_before, validation_before))
     return {
         "records": history.recommendation_records(index),
         "counters": history.record_counters(index),
         "by1_evidence": history.evidence_levels(index, "by1"),
         "spec_evidence": history.evidence_levels(index, "spec"),
-        "form_rules": rules.prefix_rules(tagged, literal_spec=True),
+        "form_rules": cut_lineage(rules.prefix_rules(tagged, literal_spec=True)),
         "profile": history.source_profile(index),
     }
 
@@ -35,7 +35,7 @@ def build_spec_index(rows: DataFrame, before_date: str | None = None) -> dict:
     """Records, customer counters and evidence table of the specification index."""
     index = before(rows, before_date)
     return {
-        "records": history.spec_records(index),
+        "records": cut_lineage(history.spec_records(index)),
         "customers": history.spec_record_customers(index),
         "evidence": history.legacy_evidence_levels(index),
         "profile": history.source_profile(index),

@@ -7,8 +7,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows a small side may hold before it is no longer broadcast or read by the driver.
-BROADCAST_ROWS = 50_000
+# Rows a reference table may hold to be read by the driver. Joins carry no broadcast hints: adaptive
+# execution broadcasts a side once its measured size is below the configured threshold.
 DRIVER_ROWS = 5_000
 SALTS = 8
 
@@ -27,15 +27,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder if folder else tempfile.mkdtemp(prefix="orderlens-")
 
 
-def is_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+def is_small(df: DataFrame, limit: int = DRIVER_ROWS) -> bool:
     """True if the frame holds at most limit rows; reads limit + 1 rows at most."""
     return df.limit(limit + 1).count() <= limit
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if is_small(df, limit) else df
-
-
 def bounded_rows(df: DataFrame, what: str, limit: int = DRIVER_ROWS) -> list:
     """Rows of a small reference table for the driver; refuses larger ones."""
     rows = df.limit(limit + 1).collect()
