@@ -1,6 +1,6 @@
 """Checked queries over the given tables."""
 
-from . import history_queries, text_queries  # noqa: F401
+from . import history_queries, job_queries, text_queries, vector_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

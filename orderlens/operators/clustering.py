@@ -187,10 +187,7 @@ def _label_big(points: DataFrame, max_group: int, tile_rows: int) -> DataFrame:
         "by1", "part", F.col("cut.k").alias("ks"), F.col("cut.label").alias("labels"))
     placed = points.select("by1", "point_id", "vector").join(members, ["by1", "point_id"]).join(
         per_part, ["by1", "part"])
-    placed = placed.withColumn("slice", F.pmod(F.xxhash64("point_id"), F.lit(SLICES)).cast("int"))
-    copies = sums.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
-    scores = placed.groupBy("by1", "slice").cogroup(copies.groupBy("by1", "slice")).applyInPandas(
-        _slice_silhouettes, "by1 string, k int, score double, points bigint")
+    scores = _sliced(placed, sums)
     sizes = sums.groupBy("by1", "k").agg(F.count_if(F.col("n") == 1).alias("singletons"))
     judged = scores.groupBy("by1", "k").agg(
         (F.sum("score") / F.sum("points")).alias("silhouette")).join(sizes, ["by1", "k"])
@@ -208,6 +205,27 @@ def _label_big(points: DataFrame, max_group: int, tile_rows: int) -> DataFrame:
     return members.join(labels, ["by1", "part"]).select("by1", "point_id", "label", "silhouette")
 
 
+def mean_silhouettes(points: DataFrame) -> DataFrame:
+    """Mean cosine silhouette per variety of given labels.
+
+    points: by1, point_id, vector of unit length, label (0, 1, ... inside each variety). Points are
+    scored in slices against the label sums, so a large variety spreads over many tasks.
+    """
+    sums = points.groupBy("by1", "label").agg(
+        vector_sum().alias("total"), F.count(F.lit(1)).alias("n")).withColumn("k", F.lit(0))
+    placed = points.select("by1", "point_id", "vector", F.array(F.lit(0)).alias("ks"),
+                           F.array(F.col("label").cast("int")).alias("labels"))
+    return _sliced(placed, sums).groupBy("by1").agg(
+        (F.sum("score") / F.sum("points")).alias("silhouette"), F.sum("points").alias("points"))
+
+
+def _sliced(placed: DataFrame, sums: DataFrame) -> DataFrame:
+    placed = placed.withColumn("slice", F.pmod(F.xxhash64("point_id"), F.lit(SLICES)).cast("int"))
+    copies = sums.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+    return placed.groupBy("by1", "slice").cogroup(copies.groupBy("by1", "slice")).applyInPandas(
+        _slice_silhouettes, "by1 string, k int, score double, points bigint")
+
+
 def label_points(points: DataFrame, max_group: int = MAX_GROUP,
                  tile_rows: int = TILE_ROWS) -> DataFrame:
     """(by1, point_id, label, silhouette); points: by1, point_id, vector of unit length."""

@@ -293,7 +293,7 @@ def by1_from_templates(hits: DataFrame, k: int = 5) -> DataFrame:
         F.array_sort(F.collect_list(F.when((F.col("at") <= 3) & text.isNotNull(), F.struct(
             "at", text.alias("text"))))).alias("texts"))
     scored = grouped.select(
-        "request_id", "by1", F.round(F.col("best") + F.when(
+        "request_id", "by1", F.bround(F.col("best") + F.when(
             F.col("form_match"), FORM_BONUS).otherwise(0.0), 4).alias("score"),
         "support", "form_match", F.col("ids.template_id").alias("template_ids"),
         F.col("texts.text").alias("matched_descriptions"))
@@ -397,7 +397,7 @@ def retrieve_designs(queries: DataFrame, templates: DataFrame, k: int = 3, pool:
     return ranked.filter(F.col("rank") <= max(1, min(int(k), pool))).select(
         "request_id", "rank", "template_id", render(F.col("valve_family"), values)
         .alias("standardized_description"),
-        F.round("score", 4).alias("score"), F.round("vector_score", 4).alias("vector_score"),
+        F.bround("score", 4).alias("score"), F.bround("vector_score", 4).alias("vector_score"),
         "field_match_ratio", "matched_field_count", "by1_match", "form_match", "by1_form_match",
         "support", F.coalesce("reranker_used", F.lit(False)).alias("reranker_used"),
         F.array_sort("supported_by1").alias("supported_by1"),

@@ -162,8 +162,8 @@ def by1_from_hits(hits: DataFrame, request_forms: DataFrame | None = None, k: in
     score = 0.85 * F.col("best") + 0.15 * F.col("mean3") + F.when(
         F.col("form_match"), 0.03).otherwise(0.0)
     scored = grouped.select(
-        "request_id", "by1", F.round(score, 4).alias("score"),
-        F.round("best", 4).alias("vector_score"), "support", "form_match",
+        "request_id", "by1", F.bround(score, 4).alias("score"),
+        F.bround("best", 4).alias("vector_score"), "support", "form_match",
         F.col("texts.text").alias("matched_descriptions"))
     return top_k(scored, ["request_id"], [F.desc("score"), F.asc("by1")], k)
 
@@ -209,12 +209,12 @@ def fuse_rerank(candidates: DataFrame, scores: DataFrame, key: str = "by1") -> D
     complete = F.count("rr").over(all_of) == F.count(F.lit(1)).over(all_of)
     staged = joined.withColumns({"used": complete, "low": low, "span": high - low})
     scaled = F.when(F.col("span") > 0, (F.col("rr") - F.col("low")) / F.col("span")).otherwise(0.5)
-    fused = F.round(
+    fused = F.bround(
         0.70 * scaled + 0.20 * F.coalesce("vector_score", "score")
         + 0.05 * F.col("form_match").cast("double") + 0.05 * support_weight("support"), 4)
     staged = staged.withColumns({
         "old_rank": F.col("rank"), "reranker_used": F.col("used"),
-        "reranker_score": F.when(F.col("used"), F.round("rr", 4)),
+        "reranker_score": F.when(F.col("used"), F.bround("rr", 4)),
         "score": F.when(F.col("used"), fused).otherwise(F.col("score"))})
     order = all_of.orderBy(F.when(F.col("used"), -F.col("score")).asc(), F.asc("old_rank"))
     return staged.withColumn("rank", F.row_number().over(order)).drop(
