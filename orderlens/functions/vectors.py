@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import normalize_text, token_set
+from .text import let, normalize_text, token_set
 
 SCORE_DIGITS = 9
 
@@ -16,9 +16,8 @@ def norm(vector: Column) -> Column:
 
 def unit(vector: Column) -> Column:
     """Unit length as doubles; a zero vector stays zero."""
-    doubles = vector.cast("array<double>")
-    length = norm(doubles)
-    return F.transform(doubles, lambda x: F.when(length > 0, x / length).otherwise(F.lit(0.0)))
+    return let(vector.cast("array<double>"), lambda v: let(norm(v), lambda length: F.transform(
+        v, lambda x: F.when(length > 0, x / length).otherwise(F.lit(0.0)))))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -43,5 +42,6 @@ def hashed_vector(text: Column, size: int = 64) -> Column:
     tokens = token_set(normalize_text(text))
     slots = F.transform(tokens, lambda t: F.pmod(
         F.conv(F.substring(F.md5(t.cast("binary")), 1, 6), 16, 10).cast("int"), F.lit(size)))
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)),
-                       lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
+    return let(slots, lambda own: F.transform(
+        F.sequence(F.lit(0), F.lit(size - 1)),
+        lambda i: F.size(F.filter(own, lambda s: s == i)).cast("double")))

@@ -221,7 +221,8 @@ def mean_silhouettes(points: DataFrame) -> DataFrame:
 
 def _sliced(placed: DataFrame, sums: DataFrame) -> DataFrame:
     placed = placed.withColumn("slice", F.pmod(F.xxhash64("point_id"), F.lit(SLICES)).cast("int"))
-    copies = sums.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+    copies = sums.select(*[F.col(c).alias(c) for c in sums.columns], F.explode(
+        F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("slice"))
     return placed.groupBy("by1", "slice").cogroup(copies.groupBy("by1", "slice")).applyInPandas(
         _slice_silhouettes, "by1 string, k int, score double, points bigint")
 

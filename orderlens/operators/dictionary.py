@@ -165,11 +165,15 @@ def apply_exceptions(found: Column, dictionary: Dictionary, context: dict[str, C
         change = F.create_map(F.lit(override_field), F.struct(
             F.lit(override_value).alias("value"), F.lit(f"EXCEPTION:{match_value}").alias("term"),
             F.lit(EXCEPTION_PRIORITY).alias("priority")))
-        rest = F.map_filter(out, lambda k, _, name=override_field: k != name)
+        rest = _without(out, override_field)
         out = F.when(F.coalesce(hit, F.lit(False)), F.map_concat(rest, change)).otherwise(out)
     return out
 
 
+def _without(matched: Column, name: str) -> Column:
+    return F.map_filter(matched, lambda k, _: k != name)
+
+
 def match_large(texts: DataFrame, terms: DataFrame, key: str, text: str, family: str) -> DataFrame:
     """Best term per (key, field) for dictionaries of any size.
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,41 +68,44 @@ def spec_record_customers(rows: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("count")))
 
 
+LEVELS = {"description_form": (True, False), "description": (False, False),
+          "description_form_customer": (True, True), "description_customer": (False, True)}
+
+
 def evidence_levels(rows: DataFrame, value: str, form: str = "form_code") -> DataFrame:
     """Value counts at four key levels: description with form and customer, with form, with
     customer, and alone. Absent key parts are blank."""
     base = usable(rows).groupBy("description", F.col(form).alias("form_code"), "customer_key",
                                 F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    return _levels(base, base)
+    return _at_levels(base, list(LEVELS))
 
 
 def legacy_evidence_levels(rows: DataFrame) -> DataFrame:
     """The same levels for the specification index, where one row may count for two customers."""
     rows = legacy_rows(rows)
-    base = rows.groupBy("description", "form_code", F.col("spec").alias("value")).agg(
-        F.count(F.lit(1)).alias("n"))
+    value = F.col("spec").alias("value")
+    base = rows.groupBy("description", "form_code", value).agg(F.count(F.lit(1)).alias("n"))
     named = (rows.withColumn("customer_key", F.explode("customers"))
-             .groupBy("description", "form_code", "customer_key", F.col("spec").alias("value"))
+             .groupBy("description", "form_code", "customer_key", value)
              .agg(F.count(F.lit(1)).alias("n")))
-    return _levels(base, named)
-
-
-def _levels(base: DataFrame, named: DataFrame) -> DataFrame:
-    total = F.sum("n").alias("n")
-    blank = F.lit("").alias
-    d, f, c = "description", "form_code", "customer_key"
-    named = named.filter(F.col(c) != "")
-    parts = [
-        base.groupBy(d, f, "value").agg(total).select(
-            F.lit("description_form").alias("level"), d, f, blank(c), "value", "n"),
-        base.groupBy(d, "value").agg(total).select(
-            F.lit("description").alias("level"), d, blank(f), blank(c), "value", "n"),
-        named.groupBy(d, f, c, "value").agg(total).select(
-            F.lit("description_form_customer").alias("level"), d, f, c, "value", "n"),
-        named.groupBy(d, c, "value").agg(total).select(
-            F.lit("description_customer").alias("level"), d, blank(f), c, "value", "n"),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    plain = [level for level, (_, customer) in LEVELS.items() if not customer]
+    return _at_levels(base.withColumn("customer_key", F.lit("")), plain).unionByName(
+        _at_levels(named, [level for level in LEVELS if level not in plain]))
+
+
+def _at_levels(base: DataFrame, levels: list[str]) -> DataFrame:
+    """Roll counts up to several levels in one pass over them."""
+    def level_key(level: str) -> Column:
+        form, customer = LEVELS[level]
+        key = F.struct(F.lit(level).alias("level"),
+                       (F.col("form_code") if form else F.lit("")).alias("form_code"),
+                       (F.col("customer_key") if customer else F.lit("")).alias("customer_key"))
+        return F.when(F.col("customer_key") != "", key) if customer else key
+
+    keyed = base.select("description", "value", "n", F.explode(F.array_compact(F.array(
+        *[level_key(level) for level in levels]))).alias("k"))
+    return keyed.groupBy("k.level", "description", "k.form_code", "k.customer_key", "value").agg(
+        F.sum("n").alias("n"))
 
 
 def source_profile(rows: DataFrame, exact: bool = True) -> DataFrame:
