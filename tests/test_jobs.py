@@ -130,11 +130,11 @@ def test_clustering_golden(spark):
 def test_big_group_gives_the_same_clusters(spark):
     rng = np.random.default_rng(1)
     centers = rng.normal(size=(3, 6)) * 4
-    vs = np.vstack([c + rng.normal(scale=0.4, size=(14, 6)) for c in centers])
+    vs = np.vstack([c + rng.normal(scale=0.4, size=(30, 6)) for c in centers])
     points = _points(spark, {"A": vs}).withColumn("vector", unit(F.col("vector")))
     small = {(r.point_id, r.label, round(r.silhouette, 9)) for r in clustering.label_points(points).collect()}
     big = {(r.point_id, r.label, round(r.silhouette, 9)) for r in clustering.label_points(
-        points, max_group=36, tile_rows=16).collect()}
+        points, max_group=80, tile_rows=32).collect()}
     def parts(rows):
         out = {}
         for p, l, _ in rows:
