@@ -202,7 +202,9 @@ def legacy_answers(keys: DataFrame, evidence: DataFrame, rules: DataFrame | None
     reliability = F.lit(None).cast("double")
     for level, value in STAGE_RELIABILITY.items():
         reliability = F.when(F.col("level") == level, value).otherwise(reliability)
-    score = F.when(ruled, rule_score).otherwise(F.bround(top["score"] * reliability, 4))
+    # Half to even on the binary value, as products of rounded shares often end in a 5.
+    calibrated = F.rint(top["score"] * reliability * 10_000) / 10_000
+    score = F.when(ruled, rule_score).otherwise(calibrated)
     scored = scored.withColumn("confidence_score", score)
     label = F.when(ruled, "high").otherwise(
         confidence_label(F.col("confidence_score"), top["support"]))
