@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.orders import read_table
+from .bytebpe import decode_tokens, encode_descriptions
 from .quality import fit_quality, score_quality
 from .rows import description_rows
+from .simhash import simhash_classes
 from .toxicity import fit_toxicity, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +54,23 @@ def op4_quality(spark, d):
     return score_quality(rows, model, 0.7).select(
         F.col("row_id").alias("doc_id"), held_out(F.col("row_id")).alias("held_out"), "score",
         "predicted")
+
+
+@query("op6_simhash")
+def op6_simhash(spark, d):
+    return simhash_classes(description_rows(read_table(spark, d, "documents"))).withColumnRenamed(
+        "row_id", "doc_id")
+
+
+@query("op8_byte_bpe")
+def op8_byte_bpe(spark, d):
+    return byte_bpe_digests(description_rows(read_table(spark, d, "documents")))
+
+
+def byte_bpe_digests(rows: DataFrame) -> DataFrame:
+    """Digests of the encoded and again decoded descriptions."""
+    terms = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    coded = decode_tokens(encode_descriptions(rows, *terms).drop("description"), *terms)
+    return coded.select(
+        F.col("row_id").alias("doc_id"), "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
