@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from ..sources.orders import read_table
 from .bytebpe import decode_tokens, encode_descriptions
+from .dac import read_token_files, write_token_files
+from .merkle import description_fingerprints
 from .quality import fit_quality, score_quality
-from .rows import description_rows
+from .rows import description_rows, shared_path
 from .simhash import simhash_classes
 from .toxicity import fit_toxicity, score_toxicity
 
@@ -74,3 +76,20 @@ def byte_bpe_digests(rows: DataFrame) -> DataFrame:
     return coded.select(
         F.col("row_id").alias("doc_id"), "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op7_merkle")
+def op7_merkle(spark, d):
+    return description_fingerprints(description_rows(read_table(spark, d, "documents"))).select(
+        F.col("row_id").alias("doc_id"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+@query("op9_token_codes")
+def op9_token_codes(spark, d):
+    path = shared_path(spark, "token-files")
+    write_token_files(description_rows(read_table(spark, d, "documents")), path,
+                      public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return read_token_files(spark, path).select(
+        F.col("row_id").alias("doc_id"), "start", "n_tokens",
+        F.crc32("token_ids").alias("ids_crc32"))
