@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from ..sources.orders import read_table
 from .bytebpe import decode_tokens, encode_descriptions
+from .chat import rotated_dialogues
 from .dac import read_token_files, write_token_files
+from .lattice import lattice_links
 from .merkle import description_fingerprints
+from .mixing import mix
 from .quality import fit_quality, score_quality
 from .rows import description_rows, shared_path
 from .simhash import simhash_classes
@@ -93,3 +96,102 @@ def op9_token_codes(spark, d):
     return read_token_files(spark, path).select(
         F.col("row_id").alias("doc_id"), "start", "n_tokens",
         F.crc32("token_ids").alias("ids_crc32"))
+
+
+TOPICS = [("contact", "@"), ("web", "http"), ("legal", "icense"), ("table", " | ")]
+MARGINS = ["source", "lang", "topic"]
+
+
+def topic(text: Column) -> Column:
+    """Topic of a whole text: the first of TOPICS whose mark it holds, else prose."""
+    found = F.lit("prose")
+    for name, mark in reversed(TOPICS):
+        found = F.when(F.contains(text, F.lit(mark)), name).otherwise(found)
+    return F.coalesce(found, F.lit("prose"))
+
+
+def words(text: Column) -> Column:
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[^ \\t\\n\\r]+")).cast("long")
+
+
+def mixed(documents: DataFrame) -> DataFrame:
+    """Documents with topic, tokens, probability and kept by raked token weights."""
+    marked = documents.withColumns({"topic": topic(F.col("text")), "tokens": words(F.col("text"))})
+    return mix(marked.withColumnRenamed("doc_id", "row_id"), MARGINS).withColumnRenamed(
+        "row_id", "doc_id")
+
+
+def _mix_sql(sweeps: int = 10, rounds: int = 6, share: float = 0.5) -> str:
+    case = "CASE " + " ".join(f"WHEN contains(text, '{m}') THEN '{n}'" for n, m in TOPICS)
+    steps = [f"""d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
+  {case} ELSE 'prose' END AS topic,
+  len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\r]+')) AS tokens FROM documents)""",
+             """c AS (SELECT source, lang, topic, sum(tokens)::BIGINT AS tokens FROM d
+  WHERE tokens > 0 GROUP BY ALL)"""]
+    for m in MARGINS:
+        steps.append(f"""t_{m} AS (SELECT {m}, r / sum(r) OVER () AS target_{m}
+  FROM (SELECT {m}, pow(sum(tokens)::DOUBLE, 0.5) AS r FROM c GROUP BY {m}))""")
+    steps.append("w0 AS MATERIALIZED (SELECT *, tokens::DOUBLE AS weight FROM c "
+                 + " ".join(f"JOIN t_{m} USING ({m})" for m in MARGINS) + ")")
+    n = 0
+    for _ in range(sweeps):
+        for m in MARGINS:
+            n += 1
+            steps.append(f"w{n} AS MATERIALIZED (SELECT * REPLACE (weight * target_{m} / "
+                         f"sum(weight) OVER (PARTITION BY {m}) AS weight) FROM w{n - 1})")
+    steps.append(f"s0 AS MATERIALIZED (SELECT *, {share} * sum(tokens) OVER () / "
+                 f"sum(weight) OVER () AS scale FROM w{n})")
+    for i in range(rounds):
+        full = "scale * weight >= tokens"
+        steps.append(f"""s{i + 1} AS MATERIALIZED (SELECT * EXCLUDE (rest, remain) REPLACE (
+  CASE WHEN rest > 0 THEN remain / rest ELSE scale END AS scale) FROM (SELECT *,
+  sum(CASE WHEN {full} THEN 0.0::DOUBLE ELSE weight END) OVER () AS rest,
+  {share} * sum(tokens) OVER () - sum(CASE WHEN {full} THEN tokens ELSE 0 END) OVER () AS remain
+  FROM s{i}))""")
+    return ("WITH " + ",\n".join(steps) + f"""
+SELECT doc_id, topic, tokens, round(p, 6) AS probability,
+  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE < p AS kept
+FROM (SELECT d.*, CASE WHEN d.tokens > 0 THEN least(1.0::DOUBLE,
+    round(scale * weight / s.tokens, 9)) ELSE 0.0 END AS p
+  FROM d LEFT JOIN s{rounds} s USING (source, lang, topic))""")
+
+
+@query("op1_mixing", _mix_sql())
+def op1_mixing(spark, d):
+    return mixed(read_table(spark, d, "documents")).select(
+        "doc_id", "topic", "tokens", F.round("probability", 6).alias("probability"), "kept")
+
+
+@query("op2_perspectives", """
+WITH c AS (SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS speaker,
+    coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+  p AS (SELECT DISTINCT conv_id, speaker AS perspective FROM c WHERE speaker <> 'system'),
+  s AS (SELECT conv_id, perspective, turn, speaker, text, turn // 64 AS piece,
+    CASE WHEN speaker = perspective THEN '<|assistant|>' WHEN speaker = 'system' THEN '<|system|>'
+      ELSE '<|user|>' || speaker END || chr(10) AS head FROM c JOIN p USING (conv_id)),
+  e AS (SELECT *, sum(length(head) + length(text) + 8) OVER (PARTITION BY conv_id, perspective,
+    piece ORDER BY turn, speaker, text ROWS UNBOUNDED PRECEDING) AS stop FROM s)
+SELECT conv_id, perspective, piece, count(*) AS n_turns,
+  string_agg(head || text || '<|end|>' || chr(10), '' ORDER BY turn, speaker, text) AS text,
+  coalesce(string_agg((stop - length(text) - 8)::BIGINT || '-' || stop::BIGINT, ','
+    ORDER BY turn, speaker, text) FILTER (speaker = perspective), '') AS loss_spans
+FROM e GROUP BY ALL""")
+def op2_perspectives(spark, d):
+    spans = F.array_join(F.transform("loss_spans", lambda s: F.concat_ws(
+        "-", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return rotated_dialogues(read_table(spark, d, "conversations")).withColumn("loss_spans", spans)
+
+
+@query("op10_lattice", """
+WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+  l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id
+    AND list_cosine_similarity(a.v, b.v) >= 0.95),
+  r AS (SELECT vec_id AS id, vec_id AS root FROM e UNION
+    SELECT l.b AS id, r.root FROM r JOIN l ON l.a = r.id)
+SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id) AS n_links, c.component_id,
+  c.component_id = e.vec_id AS kept
+FROM e JOIN (SELECT id, min(root) AS component_id FROM r GROUP BY id) c ON c.id = e.vec_id""")
+def op10_lattice(spark, d):
+    points = read_table(spark, d, "embeddings").select(
+        F.col("vec_id").alias("point_id"), F.col("embedding").alias("vector"))
+    return lattice_links(points).withColumnRenamed("point_id", "vec_id")
