@@ -19,7 +19,10 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_TOKENS = 300_000
+from .rows import slices
+
+CACHE_TOKENS = 200_000
+TEXTS = 256
 
 
 def byte_characters() -> list[str]:
@@ -136,7 +139,7 @@ def encode_descriptions(rows: DataFrame, vocabulary: str, pattern: str) -> DataF
 
     def encode(batches):
         tool = codec(vocabulary, pattern)
-        for batch in batches:
+        for batch in slices(batches, TEXTS):
             texts = [t or "" for t in batch.column("description").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(tool.encode(texts), pa.binary())],
@@ -152,7 +155,7 @@ def decode_tokens(encoded: DataFrame, vocabulary: str, pattern: str) -> DataFram
 
     def decode(batches):
         tool = codec(vocabulary, pattern)
-        for batch in batches:
+        for batch in slices(batches, TEXTS):
             found = [None if ids is None else tool.decode(ids)
                      for ids in batch.column("token_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())],

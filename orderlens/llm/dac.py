@@ -18,10 +18,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .rows import slices
+
 MAGIC = b"DACTOK01"
 CHUNK_BITS, BLOCK_BITS = 8, 512
 SHARD_TOKENS = 1 << 20
 CACHE_WORDS = 300_000
+GROUP, TEXTS = 200, 256
 
 
 def build(ids: np.ndarray, row_ids: list[int | None], sizes: list[int]) -> bytes:
@@ -96,35 +99,86 @@ class Reader:
         return value
 
 
-_TOKENIZERS: dict = {}
+class WordEncoder:
+    """Ids of whole texts by the tokenizers library, every distinct word encoded once.
 
+    The tokenizer must drop white space between words and mark the ends of its pre-tokens, so that
+    a text's ids are those of its words one after another. Words of letters, with or without one
+    comma or full stop behind them, are one or two pre-tokens; they are encoded many at a time and
+    cut at the end marks. All other words go one by one. A text that holds a special token, or one
+    of the controls that only Python takes for white space, is encoded as it is. Known words are
+    kept in two generations: when the younger is full, words not met again are forgotten.
+    """
 
-def word_tokenizer(path: str):
-    """The tokenizer of a file without its own threads; a Python worker reads it once."""
-    if path not in _TOKENIZERS:
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        _TOKENIZERS[path] = (Tokenizer.from_file(path), {})
-    return _TOKENIZERS[path]
+        self.tool = Tokenizer.from_file(path)
+        self.odd = [t.content for t in self.tool.get_added_tokens_decoder().values()]
+        self.odd += ["\x1c", "\x1d", "\x1e", "\x1f"]
+        vocabulary = self.tool.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
+    def _one(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes()
+                for e in self.tool.encode_batch_fast(words, add_special_tokens=False)]
 
-def encode_words(texts: list[str], path: str) -> list[np.ndarray]:
-    """Ids of whole texts by the tokenizers library, every distinct word encoded once.
+    def _many(self, words: list[str], pieces: list[int]) -> list[bytes]:
+        out = []
+        places = range(0, len(words), GROUP)
+        for i, coded in zip(places, self.tool.encode_batch_fast(
+                [" ".join(words[i:i + GROUP]) for i in places], add_special_tokens=False),
+                strict=True):
+            raw = np.array(coded.ids, "<u4")
+            last = np.cumsum(pieces[i:i + GROUP]) - 1
+            stops = np.flatnonzero(self.ends[raw])
+            if len(stops) != last[-1] + 1:
+                out += self._one(words[i:i + GROUP])
+                continue
+            ends = (4 * (stops[last] + 1)).tolist()
+            coded_bytes = raw.tobytes()
+            out += [coded_bytes[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        return out
 
-    The tokenizer must drop white space between words, so that a text's ids are those of its words
-    one after another. A text that holds one of its special tokens is encoded as it is.
-    """
-    tool, known = word_tokenizer(path)
-    special = [t.content for t in tool.get_added_tokens_decoder().values()]
-    cut = [None if any(s in t for s in special) else t.split() for t in texts]
-    if len(known) > CACHE_WORDS:
-        known.clear()
-    new = [w for w in dict.fromkeys(chain.from_iterable(c for c in cut if c)) if w not in known]
-    for word, coded in zip(new, tool.encode_batch_fast(new, add_special_tokens=False), strict=True):
-        known[word] = np.array(coded.ids, "<u4").tobytes()
-    return [np.array(tool.encode(t, add_special_tokens=False).ids, np.uint32) if words is None
-            else np.frombuffer(b"".join([known[w] for w in words]), "<u4")
-            for t, words in zip(texts, cut, strict=True)]
+    def learn(self, new: list[str]) -> None:
+        plain, pieces, other = [], [], []
+        for word in new:
+            if word.isalpha():
+                plain.append(word)
+                pieces.append(1)
+            elif word[-1] in ",." and word[:-1].isalpha():
+                plain.append(word)
+                pieces.append(2)
+            else:
+                other.append(word)
+        self.words.update(zip(plain, self._many(plain, pieces), strict=True))
+        self.words.update(zip(other, self._one(other), strict=True))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        cut = [None if any(s in t for s in self.odd) else t.split() for t in texts]
+        if len(self.words) > CACHE_WORDS:
+            self.words, self.older = {}, self.words
+        words, older = self.words, self.older
+        missing = [w for w in set(chain.from_iterable(c for c in cut if c)) if w not in words]
+        words.update((w, older[w]) for w in missing if w in older)
+        if new := [w for w in missing if w not in words]:
+            self.learn(new)
+        return [np.array(self.tool.encode(t, add_special_tokens=False).ids, np.uint32)
+                if c is None else np.frombuffer(b"".join([words[w] for w in c]), "<u4")
+                for t, c in zip(texts, cut, strict=True)]
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def word_encoder(path: str) -> WordEncoder:
+    """The encoder of a tokenizer file; a Python worker reads it once."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 def write_token_files(rows: DataFrame, path: str, tokenizer: str, end_id: int,
@@ -148,10 +202,11 @@ def write_token_files(rows: DataFrame, path: str, tokenizer: str, end_id: int,
                  pa.array([total], pa.int64()), pa.array([image], pa.binary())],
                 ["part", "shard", "tokens", "image"])
 
-        for batch in batches:
+        encoder = word_encoder(tokenizer)
+        for batch in slices(batches, TEXTS):
             texts = [t or "" for t in batch.column("description").to_pylist()]
-            for row_id, coded in zip(batch.column("row_id").to_pylist(),
-                                     encode_words(texts, tokenizer), strict=True):
+            for row_id, coded in zip(batch.column("row_id").to_pylist(), encoder.encode(texts),
+                                     strict=True):
                 held.append(row_id)
                 ids.append(np.append(coded, np.uint32(end_id)))
                 sizes.append(len(ids[-1]))

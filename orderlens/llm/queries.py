@@ -15,6 +15,7 @@ from .dac import read_token_files, write_token_files
 from .lattice import lattice_links
 from .merkle import description_fingerprints
 from .mixing import mix
+from .passages import repeated_passages
 from .quality import fit_quality, score_quality
 from .rows import description_rows, shared_path
 from .simhash import simhash_classes
@@ -195,3 +196,10 @@ def op10_lattice(spark, d):
     points = read_table(spark, d, "embeddings").select(
         F.col("vec_id").alias("point_id"), F.col("embedding").alias("vector"))
     return lattice_links(points).withColumnRenamed("point_id", "vec_id")
+
+
+@query("op5_passages")
+def op5_passages(spark, d):
+    return repeated_passages(description_rows(read_table(spark, d, "documents"))).withColumnsRenamed(
+        {"row_id": "doc_id", "partner_id": "first_doc_id", "partner_start": "first_start",
+         "partner_stop": "first_stop"})
