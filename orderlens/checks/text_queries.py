@@ -284,7 +284,7 @@ def term_match_large(spark, d):
         F.col("raw_description").alias("description"), DS.design_text(
             F.col("raw_description")).alias("text"), F.col("valve_family").alias("family")).distinct()
     terms = DI.clean_terms(DI.default_terms(spark))
-    return DI.match_large(keys, terms, "description", "text", "family").select(
+    return DI.match_terms(keys, terms, ["description"], "text", "family").select(
         "description", "field", "value", "term").distinct()
 
 

@@ -12,7 +12,7 @@ from ..functions.sizes import design_pressure, design_size
 from ..functions.standardize import EVIDENCE_TYPE
 from ..functions.text import blank, collapse, matches, strip
 from ..plans.scale import cut_lineage, over_distinct, salted_lookup, top_k
-from .dictionary import Dictionary, apply_exceptions, default_dictionary, match_terms
+from .dictionary import Dictionary, default_dictionary, with_exceptions, with_matches
 from .rules import mature_attribute_rules
 
 # Family names, role and family patterns, special requirements, required fields.
@@ -82,10 +82,11 @@ def _extract(pairs: DataFrame, dictionary: Dictionary) -> DataFrame:
     """Role, family, dictionary matches and pattern parts of distinct (description, hint)."""
     text = F.col("text")
     staged = pairs.withColumn("text", design_text(F.col("raw_description"))).withColumns({
-        "product_role": role(text), "family": family(text, F.col("hint"))})
+        "product_role": role(text),
+        "family": family(text, F.nullif(F.col("hint"), F.lit("")))})
     found = [F.when(matches(text, p), F.lit(v)) for p, v in SPECIALS]
-    return staged.withColumns({
-        "found": match_terms(text, F.col("family"), dictionary),
+    matched = with_matches(staged, dictionary.terms, ["raw_description", "hint"], "text", "family")
+    return matched.withColumns({
         "p_pressure": design_pressure(text),
         "p_special": F.nullif(F.concat_ws("; ", *found), F.lit(""))})
 
@@ -97,18 +98,22 @@ def observe(rows: DataFrame, dictionary: Dictionary | None = None,
     rows: raw_description, by1, form_code. All regex work runs once per distinct description and
     code hint; only exceptions, which may look at codes, run per row.
     """
-    dictionary = dictionary or default_dictionary()
+    dictionary = dictionary or default_dictionary(rows.sparkSession)
     hinted = rows.withColumn("hint", F.coalesce(code_family(F.col("by1")), F.lit("")))
     key = ["raw_description", "hint"]
     found = over_distinct(
-        hinted, key, lambda d: _extract(d.withColumn("hint", F.nullif(F.col("hint"), F.lit(""))),
-                                        dictionary).withColumn(
-            "hint", F.coalesce("hint", F.lit(""))), row_id)
-    context = {"description": F.col("text"), "family": F.upper(blank(F.col("family"))),
-               "valve_family": F.upper(blank(F.col("family"))),
-               "by1": F.upper(strip(F.col("by1"))), "form_code": F.upper(strip(F.col("form_code")))}
+        hinted, key, lambda d: _extract(d, dictionary), row_id)
     valve = (F.col("product_role") == "valve") & F.col("family").isNotNull()
-    staged = found.withColumn("found", apply_exceptions(F.col("found"), dictionary, context))
+    staged = found
+    if dictionary.exceptions is not None:
+        named = found.withColumns({
+            "_text": blank(F.col("text")), "_family": F.upper(blank(F.col("family"))),
+            "_by1": F.upper(strip(blank(F.col("by1")))),
+            "_form": F.upper(strip(blank(F.col("form_code"))))})
+        context = {"description": "_text", "family": "_family", "valve_family": "_family",
+                   "by1": "_by1", "form_code": "_form"}
+        staged = with_exceptions(named, dictionary.exceptions, ["_text", "_family", "_by1", "_form"],
+                                 context).drop("_text", "_family", "_by1", "_form")
     staged = staged.withColumn("p_size", design_size(
         F.col("text"), F.coalesce(F.try_element_at("found", F.lit("connection"))["value"],
                                   F.lit(""))))

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import blank, is_active, strip
-from ..plans.scale import DRIVER_ROWS, bounded_rows, is_small
 
 # The built-in terms as (term, value, field, families, priority).
 DEFAULT_TERMS = [
@@ -79,10 +78,10 @@ MATCH_TYPE = "map<string,struct<value:string,term:string,priority:int>>"
 
 @dataclass(frozen=True)
 class Dictionary:
-    """Cleaned term and exception rows, small enough to become column expressions."""
+    """Cleaned term and exception tables of any size; without exceptions None."""
 
-    terms: list = field(default_factory=list)
-    exceptions: list = field(default_factory=list)
+    terms: DataFrame
+    exceptions: DataFrame | None = None
 
 
 def default_terms(spark: SparkSession) -> DataFrame:
@@ -111,74 +110,29 @@ def clean_exceptions(exceptions: DataFrame) -> DataFrame:
 
 
 def load_dictionary(terms: DataFrame, exceptions: DataFrame | None = None) -> Dictionary:
-    """Read a reviewed dictionary; it must be small. Larger ones go through match_large."""
-    t = sorted(bounded_rows(clean_terms(terms), "term dictionary"), key=lambda r: r["position"])
-    e = [] if exceptions is None else sorted(
-        bounded_rows(clean_exceptions(exceptions), "exception list"), key=lambda r: r["position"])
-    return Dictionary([(r["term"], r["value"], r["field"], tuple(r["families"]), r["priority"])
-                       for r in t],
-                      [(r["match_field"], r["match_value"], r["override_field"],
-                        r["override_value"]) for r in e])
-
-
-def default_dictionary() -> Dictionary:
-    return Dictionary([(t, v, f, (s,) if s else (), p) for t, v, f, s, p in DEFAULT_TERMS])
-
-
-def phrase_pattern(term: str) -> str:
-    """Regex of a phrase that is no part of a longer word or number."""
-    words = [r"\Q" + w + r"\E" for w in term.upper().split(" ")]
-    return r"(?<![A-Z0-9])" + r"\s+".join(words) + r"(?![A-Z0-9])"
-
-
-def match_terms(text: Column, family: Column, dictionary: Dictionary) -> Column:
-    """Map field -> (value, term, priority): the longest phrase per field wins, then the highest
-    priority, then the earlier row."""
-    entries = []
-    for name in dict.fromkeys(t[2] for t in dictionary.terms):
-        own = [(i, t) for i, t in enumerate(dictionary.terms) if t[2] == name]
-        own.sort(key=lambda x: (-len(x[1][0]), -x[1][4], x[0]))
-        choices = []
-        for _, (term, value, _, families, priority) in own:
-            hit = text.rlike(phrase_pattern(term))
-            if families:
-                hit = family.isin(*families) & hit
-            choices.append(F.when(hit, F.struct(F.lit(value).alias("value"),
-                                                F.lit(term).alias("term"),
-                                                F.lit(priority).alias("priority"))))
-        entries.append(F.struct(F.lit(name).alias("key"), F.coalesce(*choices).alias("value")))
-    if not entries:
-        return F.create_map().cast(MATCH_TYPE)
-    return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"].isNotNull()))
-
-
-def apply_exceptions(found: Column, dictionary: Dictionary, context: dict[str, Column]) -> Column:
-    """Overrides whose condition holds; a description matches by substring, others by equality.
-    Later rows win."""
-    out = found
-    for match_field, match_value, override_field, override_value in dictionary.exceptions:
-        actual = context.get(match_field.lower())
-        if actual is None:
-            continue
-        want = match_value.upper()
-        hit = actual.contains(want) if match_field.lower() == "description" else actual == want
-        change = F.create_map(F.lit(override_field), F.struct(
-            F.lit(override_value).alias("value"), F.lit(f"EXCEPTION:{match_value}").alias("term"),
-            F.lit(EXCEPTION_PRIORITY).alias("priority")))
-        rest = _without(out, override_field)
-        out = F.when(F.coalesce(hit, F.lit(False)), F.map_concat(rest, change)).otherwise(out)
-    return out
-
-
-def _without(matched: Column, name: str) -> Column:
-    return F.map_filter(matched, lambda k, _: k != name)
-
-
-def match_large(texts: DataFrame, terms: DataFrame, key: str, text: str, family: str) -> DataFrame:
-    """Best term per (key, field) for dictionaries of any size.
-
-    A phrase starts and ends at word edges, so its first word occurs as a word of the text: texts
-    and terms meet on that word, then the phrase itself is tested.
+    """Clean the tables of a reviewed dictionary; nothing of them comes to the driver."""
+    return Dictionary(clean_terms(terms),
+                      None if exceptions is None else clean_exceptions(exceptions))
+
+
+def default_dictionary(spark: SparkSession) -> Dictionary:
+    return Dictionary(clean_terms(default_terms(spark)))
+
+
+def _packed(rows: DataFrame, keys: list[str], name: str, field: str) -> DataFrame:
+    """One map field -> (value, term, priority) per key from rows with one row per field."""
+    return rows.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(
+        F.col(field).alias("key"), F.struct("value", "term", "priority").alias("value"))))
+        .cast(MATCH_TYPE).alias(name))
+
+
+def match_terms(texts: DataFrame, terms: DataFrame, keys: list[str], text: str,
+                family: str) -> DataFrame:
+    """Best term per key and field, for dictionaries of any size.
+
+    The longest phrase per field wins, then the highest priority, then the earlier row. A phrase
+    starts and ends at word edges, so its first word occurs as a word of the text: texts and terms
+    meet on that word, then the phrase itself is tested; phrases without a word meet every text.
     """
     word = r"[A-Z0-9]+"
     upper = F.upper(F.col("term"))
@@ -187,19 +141,68 @@ def match_large(texts: DataFrame, terms: DataFrame, key: str, text: str, family:
                        F.lit("(?![A-Z0-9])"))
     rules = terms.select(
         "*", F.regexp_extract(upper, f"({word})", 1).alias("word"), pattern.alias("pattern"))
-    words = texts.select(key, text, family, F.explode(F.array_distinct(
-        F.regexp_extract_all(F.col(text), F.lit(f"({word})"), F.lit(1)))).alias("word"))
+    found = F.regexp_extract_all(F.col(text), F.lit(f"({word})"), F.lit(1))
+    words = texts.select(*keys, text, family, F.explode(F.array_distinct(
+        F.concat(F.array(F.lit("")), found))).alias("word"))
     met = words.join(rules, "word").filter(
         ((F.size("families") == 0) | F.array_contains("families", F.col(family)))
         & F.regexp_like(F.col(text), F.col("pattern")))
-    return met.groupBy(key, "field").agg(F.max_by(
+    return met.groupBy(*keys, "field").agg(F.max_by(
         F.struct("value", "term", "priority"),
         F.struct(F.length("term"), F.col("priority"), -F.col("position"))).alias("match")).select(
-        key, "field", "match.*")
+        *keys, "field", "match.*")
+
+
+def with_matches(texts: DataFrame, terms: DataFrame, keys: list[str], text: str,
+                 family: str) -> DataFrame:
+    """Add found, the map field -> (value, term, priority) of match_terms; keys are not null."""
+    packed = _packed(match_terms(texts, terms, keys, text, family), keys, "found", "field")
+    return texts.join(packed, keys, "left").withColumn(
+        "found", F.coalesce("found", F.create_map().cast(MATCH_TYPE)))
 
 
-def needs_large_match(terms: DataFrame) -> bool:
-    return not is_small(terms, DRIVER_ROWS)
+def _pieces(text: Column, n: int) -> Column:
+    """All stretches of n characters of a description, as (name, mark)."""
+    def piece(i: Column) -> Column:
+        return F.struct(F.lit("description").alias("name"),
+                        F.substring(text, i, F.lit(n)).alias("mark"))
+
+    return F.when(F.char_length(text) >= n, F.transform(
+        F.sequence(F.lit(1), F.char_length(text) - (n - 1)), piece)).otherwise(
+        F.array().cast("array<struct<name:string,mark:string>>"))
+
+
+def with_exceptions(rows: DataFrame, exceptions: DataFrame, keys: list[str],
+                    context: dict[str, str]) -> DataFrame:
+    """Override found by the exceptions whose condition holds; later rows win.
+
+    context: field name -> column with its upper-case value. A description matches by substring:
+    text and exception meet on the first characters of the wanted value, up to three. Other
+    fields match by equality. keys identify a context and are not null.
+    """
+    wanted = exceptions.select(
+        F.lower("match_field").alias("name"), F.upper("match_value").alias("wanted"),
+        "match_value", "override_field", "override_value", "position").withColumn(
+        "mark", F.when(F.col("name") == "description", F.left("wanted", F.lit(3)))
+        .otherwise(F.col("wanted")))
+    contexts = rows.select(*dict.fromkeys([*keys, *context.values()])).dropDuplicates(keys)
+    text = F.col(context["description"])
+    starts = [_pieces(text, n) for n in (1, 2, 3)]
+    equal = F.array(*[F.struct(F.lit(name).alias("name"), F.col(column).alias("mark"))
+                      for name, column in context.items() if name != "description"])
+    met = contexts.withColumn("_at", F.explode(F.array_distinct(F.concat(*starts, equal)))).select(
+        *keys, text.alias("_whole"), "_at.*")
+    hits = met.join(wanted, ["name", "mark"]).filter(
+        (F.col("name") != "description") | F.contains("_whole", F.col("wanted")))
+    last = hits.groupBy(*keys, "override_field").agg(F.max_by(F.struct(
+        F.col("override_value").alias("value"),
+        F.concat(F.lit("EXCEPTION:"), "match_value").alias("term"),
+        F.lit(EXCEPTION_PRIORITY).alias("priority")), "position").alias("change")).select(
+        *keys, "override_field", "change.*")
+    changed = rows.join(_packed(last, keys, "_changes", "override_field"), keys, "left")
+    changes = F.coalesce("_changes", F.create_map().cast(MATCH_TYPE))
+    kept = F.map_filter("found", lambda k, _: ~F.map_contains_key(changes, k))
+    return changed.withColumn("found", F.map_concat(kept, changes)).drop("_changes")
 
 
 def canonical_values(terms: DataFrame) -> DataFrame:
@@ -212,7 +215,7 @@ def compile_bundle(sheets: dict[str, DataFrame], version: str) -> tuple[DataFram
     """Long rows of all sheets (sheet, row_no, column, value) and a one-row manifest.
 
     Blank rows are dropped. The manifest holds the version, the row counts and a SHA-256 over the
-    content, taken per row first and then over the sorted row hashes of at most 256 slices.
+    content, taken per row first and then folded in a tree over the sorted row hashes.
     """
     parts = []
     for name, df in sheets.items():
@@ -225,9 +228,22 @@ def compile_bundle(sheets: dict[str, DataFrame], version: str) -> tuple[DataFram
             "sheet", "row_no", "cell.column", "cell.value"))
     rows = reduce(DataFrame.unionByName, parts)
     line = F.concat_ws("|", "sheet", F.col("row_no").cast("string"), "column", blank(F.col("value")))
-    hashed = rows.select(F.sha2(line, 256).alias("h"))
-    slices = hashed.groupBy(F.substring("h", 1, 2).alias("slice")).agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
-    digest = slices.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256)
-                        .alias("source_sha256"), F.lit(version).alias("version"))
-    return rows, digest
+    return rows, content_digest(rows.select(F.sha2(line, 256).alias("h"))).select(
+        F.col("h").alias("source_sha256"), F.lit(version).alias("version"))
+
+
+def content_digest(hashes: DataFrame) -> DataFrame:
+    """One row: SHA-256 over the hashes (column h, hex) whatever their order.
+
+    Hashes are folded in a tree by ever shorter prefixes, so a fold takes 16 hashes or, at the
+    leaves, those that share a prefix; the prefix length follows from the count.
+    """
+    n, digits = hashes.count(), 0
+    while 16 ** digits * 64 < n:
+        digits += 1
+    fold = F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h")
+    level = hashes.select("h")
+    for width in range(digits, 0, -1):
+        level = level.groupBy(F.substring("h" if width == digits else "at", 1, width).alias("at")) \
+            .agg(fold)
+    return level.agg(fold)

@@ -7,9 +7,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows a reference table may hold to be read by the driver. Joins carry no broadcast hints: adaptive
-# execution broadcasts a side once its measured size is below the configured threshold.
-DRIVER_ROWS = 5_000
+# Joins carry no broadcast hints: adaptive execution broadcasts a side once its measured size is
+# below the configured threshold.
 SALTS = 8
 
 
@@ -22,22 +21,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder named by spark.checkpoint.dir; a temporary one only where none is set (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder if folder else tempfile.mkdtemp(prefix="orderlens-")
-
-
-def is_small(df: DataFrame, limit: int = DRIVER_ROWS) -> bool:
-    """True if the frame holds at most limit rows; reads limit + 1 rows at most."""
-    return df.limit(limit + 1).count() <= limit
+    """Folder named by spark.checkpoint.dir, which driver and executors must share.
 
-
-def bounded_rows(df: DataFrame, what: str, limit: int = DRIVER_ROWS) -> list:
-    """Rows of a small reference table for the driver; refuses larger ones."""
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{what} holds more than {limit} rows")
-    return rows
+    It has to be set on a cluster; only a local master may go without, and gets a temporary one.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="orderlens-")
 
 
 def over_distinct(df: DataFrame, keys: list[str], enrich, row_id: str | None = None) -> DataFrame:

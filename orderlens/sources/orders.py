@@ -50,18 +50,12 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """One partition per core for an input of few splits; larger inputs stay as they are read."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def order_history(spark: SparkSession, folder: str) -> DataFrame:
     """The order-history rows derived from the star tables in a folder."""
     return spark.sql(
         ORDER_HISTORY_SQL.replace("FROM lineitem JOIN orders", "FROM {lineitem} JOIN {orders}")
         .replace("JOIN part ON", "JOIN {part} ON").replace("JOIN customer ON", "JOIN {customer} ON"),
-        lineitem=spread(read_table(spark, folder, "lineitem").select(*LINE_COLUMNS)),
+        lineitem=read_table(spark, folder, "lineitem").select(*LINE_COLUMNS),
         **{t: read_table(spark, folder, t) for t in ("orders", "part", "customer")})
 
 

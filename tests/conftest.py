@@ -9,7 +9,8 @@ from orderlens.session import session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    s = session("local[8]", shuffle_partitions=4)
+def spark(tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("shared"))
+    s = session("local[8]", shuffle_partitions=4, **{"spark.checkpoint.dir": folder})
     yield s
     s.stop()

@@ -42,7 +42,7 @@ def test_dictionary_tables_and_exceptions(spark):
         [("by1", "D1", "body_material", "BRONZE", "r", "true", 0), ("description", "wafer", "special", "S", "", "1", 1)],
         dictionary.EXCEPTION_SCHEMA.replace("active boolean", "active string"))
     loaded = dictionary.load_dictionary(terms, exceptions)
-    assert [t[0] for t in loaded.terms] == ["DI", "LONG WAFER"]
+    assert [r["term"] for r in loaded.terms.orderBy("position").collect()] == ["DI", "LONG WAFER"]
     rows = spark.createDataFrame([("DI LONG WAFER BFV DN50", "D1", ""), ("DI LONG WAFER BFV", "D2", "")],
                                  "raw_description string, by1 string, form_code string")
     got = {r["by1"]: {k: v["value"] for k, v in r["attributes"].items()}
@@ -51,6 +51,28 @@ def test_dictionary_tables_and_exceptions(spark):
     assert got["D2"]["body_material"] == "DUCTILE IRON"
 
 
+def test_dictionary_of_any_size(spark):
+    filler = [(f"ZZ{i} PART", f"P{i}", "extra", "", 1, True, 100 + i) for i in range(6000)]
+    base = [(t, v, f, s, p, True, i) for i, (t, v, f, s, p) in enumerate(dictionary.DEFAULT_TERMS)]
+    rows = spark.createDataFrame([("DI LUG WAFER BFV, EPDM SEAT, SS316 DISC", "D1", "")],
+                                 "raw_description string, by1 string, form_code string")
+    many = [("by1", f"Q{i}", "body_material", "X", "", True, i) for i in range(6000)]
+    seen = []
+    for terms, exceptions in ((base, []), (base + filler, many)):
+        loaded = dictionary.load_dictionary(spark.createDataFrame(terms, dictionary.TERM_SCHEMA),
+                                            spark.createDataFrame(exceptions, dictionary.EXCEPTION_SCHEMA))
+        seen.append(design.observe(rows, loaded).first()["attributes"])
+    assert seen[0] == seen[1] and len(seen[0]) == 4
+
+
+def test_content_digest_ignores_order(spark):
+    hashes = spark.range(3000).select(F.sha2(F.col("id").cast("string"), 256).alias("h"))
+    first = dictionary.content_digest(hashes).first()["h"]
+    assert first == dictionary.content_digest(hashes.orderBy(F.desc("h")).repartition(7)).first()["h"]
+    assert first != dictionary.content_digest(hashes.limit(2999)).first()["h"]
+    assert len(dictionary.content_digest(hashes.limit(0)).first()["h"]) == 64
+
+
 def test_mature_rules(spark):
     rows = [("D71X", "90F", "2023-01-01", 20, "WAFER"), ("D71X", "90F", "2024-02-01", 5, "WAFER"),
             ("D72X", "", "2023-01-01", 19, "LUG"), ("D72X", "", "2024-02-01", 5, "LUG")]
