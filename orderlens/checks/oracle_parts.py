@@ -88,7 +88,8 @@ def sql(main: str, *needs: str) -> str:
     for name in needs:
         visit(name)
     head = ", ".join(f"{n} AS ({PARTS[n][1]})" for n in order)
-    return f"WITH {head} {main}" if order else main
+    recursive = "RECURSIVE " if any("UNION ALL\n" in PARTS[n][1] for n in order) else ""
+    return f"WITH {recursive}{head} {main}" if order else main
 
 
 part("order_history", ORDER_HISTORY_SQL)

@@ -180,24 +180,86 @@ def load_points(spark, d):
         "vector", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
-@query("cluster_descriptions")
+# Average linkage: every step merges the closest pair of clusters of each variety.
+part("g", "SELECT a.by1, a.id AS i, b.id AS j, list_cosine_similarity(a.v, b.v) AS s FROM e a JOIN e b ON a.by1 = b.by1 AND a.id <> b.id", "e")
+part("steps", """
+SELECT by1, 0 AS step, id AS pid, id AS lab FROM e UNION ALL
+SELECT r.by1, r.step + 1, r.pid, CASE WHEN r.lab = m.b THEN m.a ELSE r.lab END FROM steps r JOIN (
+  SELECT by1, a, b FROM (
+    SELECT x.by1, x.lab AS a, y.lab AS b, round(avg(g.s), 9) AS sim FROM steps x JOIN g ON g.by1 = x.by1 AND g.i = x.pid
+    JOIN steps y ON y.by1 = g.by1 AND y.pid = g.j WHERE x.lab < y.lab GROUP BY x.by1, x.lab, y.lab)
+  QUALIFY row_number() OVER (PARTITION BY by1 ORDER BY sim DESC, a, b) = 1) m ON m.by1 = r.by1""", "e", "g")
+part("cuts", """
+SELECT s.*, c.k, c.n FROM steps s JOIN (SELECT by1, step, count(DISTINCT lab) AS k, count(*) AS n FROM steps GROUP BY ALL) c USING (by1, step)
+WHERE k BETWEEN 2 AND 8 AND (k < n OR n = 2)""", "steps")
+part("sil", """
+SELECT by1, k, n, avg(score) AS silhouette FROM (
+  SELECT by1, k, n, pid, CASE WHEN max(inner_d) IS NULL THEN 0 WHEN greatest(max(inner_d), min(outer_d)) > 0
+    THEN (min(outer_d) - max(inner_d)) / greatest(max(inner_d), min(outer_d)) ELSE 0 END AS score FROM (
+    SELECT x.by1, x.k, x.n, x.pid, CASE WHEN x.lab = y.lab THEN avg(1 - g.s) END AS inner_d, CASE WHEN x.lab <> y.lab THEN avg(1 - g.s) END AS outer_d
+    FROM cuts x JOIN g ON g.by1 = x.by1 AND g.i = x.pid JOIN cuts y ON y.by1 = x.by1 AND y.k = x.k AND y.pid = g.j GROUP BY x.by1, x.k, x.n, x.pid, x.lab, y.lab)
+  GROUP BY by1, k, n, pid) GROUP BY by1, k, n""", "cuts", "g")
+part("chosen", """
+SELECT by1, CASE WHEN n > 2 AND adjusted >= 0.18 THEN k END AS k, CASE WHEN n > 2 AND adjusted >= 0.18 THEN silhouette ELSE 0 END AS silhouette FROM (
+  SELECT sil.*, silhouette - 0.05 * (k - 2) - 0.12 * alone / k AS adjusted FROM sil JOIN (
+    SELECT by1, k, count(*) FILTER (m = 1) AS alone FROM (SELECT by1, k, lab, count(*) AS m FROM cuts GROUP BY ALL) GROUP BY by1, k) USING (by1, k))
+QUALIFY row_number() OVER (PARTITION BY by1 ORDER BY adjusted DESC, k) = 1""", "sil", "cuts")
+part("labelled", """
+SELECT e.by1, e.id AS pid, coalesce(h.silhouette, 0.0)::DOUBLE AS silhouette, dense_rank() OVER (PARTITION BY e.by1 ORDER BY coalesce(c.lab, p.lab, '')) AS cluster_id
+FROM e LEFT JOIN chosen h ON h.by1 = e.by1 LEFT JOIN cuts c ON c.by1 = e.by1 AND c.k = h.k AND c.pid = e.id
+LEFT JOIN (SELECT cuts.by1, cuts.pid, cuts.lab FROM cuts JOIN g ON g.by1 = cuts.by1 AND g.i = cuts.pid WHERE cuts.n = 2 AND g.s < 0.75) p ON p.by1 = e.by1 AND p.pid = e.id""",
+     "e", "chosen", "cuts", "g")
+part("middle", """
+SELECT by1, cluster_id, min(pid) AS medoid_id FROM (
+  SELECT *, max(mean) OVER (PARTITION BY by1, cluster_id) AS best FROM (
+    SELECT x.by1, x.cluster_id, x.pid, round((1 + coalesce(sum(g.s) FILTER (y.pid IS NOT NULL), 0)) / (1 + count(y.pid)), 12) AS mean
+    FROM labelled x LEFT JOIN g ON g.by1 = x.by1 AND g.i = x.pid LEFT JOIN labelled y ON y.by1 = x.by1 AND y.cluster_id = x.cluster_id AND y.pid = g.j GROUP BY x.by1, x.cluster_id, x.pid))
+WHERE abs(mean - best) <= 1e-8 + 1e-5 * abs(best) GROUP BY by1, cluster_id""", "labelled", "g")
+part("detail", """
+SELECT l.pid AS point_id, l.by1, l.cluster_id, l.silhouette, m.medoid_id, 'text ' || m.medoid_id AS representative, e.support, e.form_code, 'D' || right(e.id, 1) AS spec,
+  CASE WHEN l.pid = m.medoid_id THEN 1.0 ELSE t.s END::DOUBLE AS similarity, coalesce(n.near, 1.0)::DOUBLE AS near, coalesce(n.others, 0) >= 2 AND n.near < 0.6 AS is_outlier
+FROM labelled l JOIN e ON e.id = l.pid JOIN middle m ON m.by1 = l.by1 AND m.cluster_id = l.cluster_id LEFT JOIN g t ON t.by1 = l.by1 AND t.i = l.pid AND t.j = m.medoid_id
+LEFT JOIN (SELECT i, round(max(s), 9) AS near, count(*) AS others FROM g GROUP BY i) n ON n.i = l.pid""", "labelled", "middle", "g", "e")
+part("varieties", """
+SELECT by1, count(*) AS description_count, sum(support)::BIGINT AS support_total, count(DISTINCT cluster_id) AS cluster_count, round_even(max(silhouette), 6) AS silhouette,
+  round_even(avg(similarity), 6) AS average_cohesion, count(*) FILTER (is_outlier) AS outlier_count, CASE WHEN count(*) = 1 THEN 'insufficient_sample' ELSE 'clustered' END AS status FROM detail GROUP BY by1""", "detail")
+
+
+def _detail(spark, d):
+    return cut_lineage(C.cluster_descriptions(points(spark, d)))
+
+
+@query("cluster_descriptions", sql("""
+SELECT point_id, by1, cluster_id, round(silhouette, 6) AS silhouette, medoid_id, representative, round(similarity, 6) AS similarity_to_medoid, round(near, 6) AS nearest_neighbor_similarity, is_outlier FROM detail""", "detail"))
 def cluster_descriptions(spark, d):
-    return C.cluster_descriptions(points(spark, d))
+    return C.cluster_descriptions(points(spark, d)).select(
+        "point_id", "by1", F.col("cluster_id").cast("bigint").alias("cluster_id"),
+        F.round("silhouette", 6).alias("silhouette"), "medoid_id", "representative",
+        F.round("similarity_to_medoid", 6).alias("similarity_to_medoid"),
+        F.round("nearest_neighbor_similarity", 6).alias("nearest_neighbor_similarity"), "is_outlier")
 
 
-@query("cluster_summary")
+@query("cluster_summary", sql("""
+SELECT by1, cluster_id, count(*) AS member_count, sum(support)::BIGINT AS support_total, any_value(representative) AS representative, array_to_string(list_sort(list(DISTINCT form_code)), ', ') AS form_codes,
+  array_to_string(list_sort(list(DISTINCT spec)), ', ') AS specifications, round_even(avg(similarity), 6) AS average_cohesion, count(*) FILTER (is_outlier) AS outlier_count FROM detail GROUP BY by1, cluster_id""", "detail"))
 def cluster_summary(spark, d):
-    return C.cluster_summary(cut_lineage(C.cluster_descriptions(points(spark, d))))
+    return C.cluster_summary(_detail(spark, d)).withColumn(
+        "cluster_id", F.col("cluster_id").cast("bigint"))
 
 
-@query("variety_summary")
+@query("variety_summary", sql("SELECT * FROM varieties", "varieties"))
 def variety_summary(spark, d):
-    return C.variety_summary(cut_lineage(C.cluster_descriptions(points(spark, d))))
+    return C.variety_summary(_detail(spark, d))
 
 
-@query("cluster_report")
+@query("cluster_report", sql("""
+SELECT unnest(['by1_count', 'description_count', 'cluster_count', 'insufficient_by1_count', 'outlier_count']) AS measure,
+  unnest([count(*), sum(description_count), sum(cluster_count), count(*) FILTER (status = 'insufficient_sample'), sum(outlier_count)])::BIGINT AS value FROM varieties
+UNION ALL SELECT 'varieties_with_' || cluster_count, count(*) FROM varieties GROUP BY cluster_count
+UNION ALL (SELECT 'top_' || by1, description_count FROM varieties ORDER BY description_count DESC, by1 LIMIT 10)
+UNION ALL SELECT 'listed_outliers', count(*) FROM detail WHERE is_outlier""", "varieties", "detail"))
 def cluster_report(spark, d):
-    detail = cut_lineage(C.cluster_descriptions(points(spark, d)))
+    detail = _detail(spark, d)
     varieties = cut_lineage(C.variety_summary(detail))
     meta = C.run_metadata(varieties, "embeddings").select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("measure"), F.col(c).cast("bigint").alias("value")) for c in (

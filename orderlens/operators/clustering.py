@@ -26,24 +26,29 @@ def _cuts(sums: np.ndarray, counts: np.ndarray, largest: int) -> dict[int, np.nd
     """Average-linkage labels for 2..largest clusters.
 
     The mean similarity of two clusters is the product of their vector sums over both counts, and
-    the rows of a merged cluster are the count-weighted mean of the rows it replaces.
+    the rows of a merged cluster are the count-weighted mean of the rows it replaces. The pair of
+    highest similarity, rounded to nine digits as in the search for neighbours, merges; ties go to
+    the smallest first members.
     """
     n = len(sums)
     means = sums / counts[:, None]
     similarity = means @ means.T
     np.fill_diagonal(similarity, -np.inf)
+    shown = np.round(similarity, 9)
     size = counts.astype(float).copy()
     label = np.arange(n)
     cuts = {}
     for remaining in range(n, 1, -1):
         if remaining <= largest:
             cuts[remaining] = np.unique(label, return_inverse=True)[1]
-        a, b = divmod(int(np.argmax(similarity)), n)
+        a, b = divmod(int(np.argmax(shown)), n)
         a, b = min(a, b), max(a, b)
         row = (size[a] * similarity[a] + size[b] * similarity[b]) / (size[a] + size[b])
         similarity[a], similarity[:, a] = row, row
         similarity[b], similarity[:, b] = -np.inf, -np.inf
         similarity[a, a] = -np.inf
+        for at in (a, b):
+            shown[at] = shown[:, at] = np.round(similarity[at], 9)
         size[a] += size[b]
         label[label == b] = a
     return cuts

@@ -47,8 +47,8 @@ def compare(spark, con, folder, name, queries, oracles, verbose=True):
     got_cols, got = normal(df.columns, [tuple(r) for r in df.collect()])
     took = time.time() - start
     if name not in oracles:
-        print(f"rows {name} {len(got)} {took:.1f}s", flush=True)
-        return len(got) >= 0
+        print(f"no SQL {name} {len(got)} rows {took:.1f}s", flush=True)
+        return False
     res = con.execute(oracles[name])
     want_cols, want = normal([c[0] for c in res.description], res.fetchall())
     ok = got_cols == want_cols and got == want
@@ -69,15 +69,10 @@ if __name__ == "__main__":
     queries, oracles = entry.queries(), entry.oracle_sql()
     spark = session("local[8]", shuffle_partitions=8)
     con = duck(folder)
-    budget = float(__import__("os").environ.get("COMPARE_SECONDS", "1e9"))
-    begun = time.time()
     picked = [n for n in queries if not names or any(
         n == p or (p.endswith("*") and n.startswith(p[:-1])) for p in names)]
     bad = []
     for n in picked:
-        if time.time() - begun > budget:
-            print("skip", n, flush=True)
-            continue
         try:
             if not compare(spark, con, folder, n, queries, oracles):
                 bad.append(n)

@@ -204,3 +204,19 @@ def test_template_pair_split(spark):
         .withColumn("vector", unit(F.col("vector")))
     got = {r.point_id: r.cluster_id for r in templates.assign_templates(members).collect()}
     assert got == {"p1": 1, "p2": 2, "p3": 3, "p4": 3}
+
+
+def test_clusters_with_equal_vectors_either_way(spark):
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(9, 5)).round(1)
+    groups = {"D": np.concatenate([base, base[:6], base[:3], rng.normal(size=(6, 5)).round(1)])}
+    df = _points(spark, groups).withColumn("vector", unit(F.col("vector")))
+
+    def parts(max_group):
+        rows = clustering.label_points(df, max_group=max_group, tile_rows=7).collect()
+        sets = {}
+        for r in rows:
+            sets.setdefault(r["label"], set()).add(r["point_id"])
+        return sorted(sorted(v) for v in sets.values()), round(rows[0]["silhouette"], 9)
+
+    assert parts(1500) == parts(21)
