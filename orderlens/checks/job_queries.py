@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..functions.codes import NAMESPACE_DNS
 from ..functions.standardize import with_segments
 from ..functions.vectors import hashed_vector
+from ..operators import cascade as K
 from ..operators import design as DS
 from ..operators import evaluate as E
 from ..operators import history as H
@@ -235,22 +236,38 @@ _CID = _uuid5("6ba7b8119dad11d180b400c04fd430c8", "concat_ws('|', by1, form_code
 part("vhits", f"""
 SELECT * FROM (SELECT a, by1, form_code, score, row_number() OVER (PARTITION BY a ORDER BY score DESC, cid) AS rank FROM (SELECT *, {_CID} AS cid FROM childs) c JOIN vcos v ON v.b = c.txt) WHERE rank <= 300""", "childs", "vcos")
 part("vrank", """
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY txt, form_code ORDER BY score DESC, by1) AS rank FROM (
-  SELECT q.txt, q.form_code, h.by1, round_even(0.85 * max(score) + 0.15 * avg(score) FILTER (rn <= 3) + CASE WHEN bool_or(h.form_code = q.form_code) THEN 0.03 ELSE 0 END, 4) AS score
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY txt, form_code ORDER BY score DESC, by1 DESC) AS rank FROM (
+  SELECT q.txt, q.form_code, h.by1, round(0.85 * max(score) + 0.15 * avg(score) FILTER (rn <= 3) + CASE WHEN bool_or(h.form_code = q.form_code) THEN 0.03 ELSE 0 END, 9) AS score
   FROM vq q JOIN (SELECT *, row_number() OVER (PARTITION BY a, by1 ORDER BY rank) AS rn FROM vhits) h ON h.a = q.txt GROUP BY q.txt, q.form_code, h.by1)) WHERE rank <= 50""", "vq", "vhits")
 
 
-@query("eval_vector_recall", sql("""
+part("missed", "SELECT h.* FROM hold h ANTI JOIN by1_hit b ON b.query = h.raw_description AND b.form_code = h.form_code", "hold", "by1_hit")
+
+
+def _recall_sql(rows):
+    return sql(f"""
 SELECT scope, count(*) AS rows, count(*) FILTER (rank <= 5) AS top5, count(rank) AS top50, round_even(count(*) FILTER (rank <= 5) / count(*), 4) AS vector_top5_accuracy, round_even(count(rank) / count(*), 4) AS candidate_recall_at_50 FROM (
   SELECT v.rank, unnest(list_filter(['all_rows', CASE WHEN h.one = 1 THEN 'deduplicated' END, CASE WHEN h.by1 IN (SELECT by1 FROM hist) THEN 'known_label_rows' ELSE 'unknown_label_rows' END], lambda x: x IS NOT NULL)) AS scope
-  FROM (SELECT *, row_number() OVER (PARTITION BY order_no, raw_code, raw_description ORDER BY row_id) AS one FROM hold) h JOIN segs s ON s.raw = h.raw_description LEFT JOIN vrank v ON v.txt = s.semantic_text AND v.form_code = h.form_code AND v.by1 = h.by1) GROUP BY scope""", "hold", "hist", "segs", "vrank"))
-def eval_vector_recall(spark, d):
+  FROM (SELECT *, row_number() OVER (PARTITION BY order_no, raw_code, raw_description ORDER BY row_id) AS one FROM {rows}) h JOIN segs s ON s.raw = h.raw_description LEFT JOIN vrank v ON v.txt = s.semantic_text AND v.form_code = h.form_code AND v.by1 = h.by1) GROUP BY scope""",
+               rows, "hist", "segs", "vrank")
+
+
+def _cases(rows, misses: bool = False):
+    """Holdout rows with a semantic text; misses: only those that exact history cannot answer."""
+    cases = later(rows)
+    if misses:
+        found = K.by1_answers(keys(cases), H.evidence_levels(past(rows), "by1")).filter(
+            F.size("by1_candidates") > 0).select(F.col("query").alias("raw_description"), "form_code")
+        cases = cases.join(found.distinct(), ["raw_description", "form_code"], "left_anti")
+    semantic = with_segments(cases.select("raw_description").distinct(),
+                             "raw_description").select("raw_description", "semantic_text")
+    return cut_lineage(cases.join(semantic, "raw_description").filter(F.col("semantic_text") != ""))
+
+
+def _vector_recall(spark, d, misses: bool = False):
     rows = stored(spark, d)
     children = cut_lineage(J.embedded_children(H.recommendation_records(past(rows))))
-    cases = later(rows)
-    semantic = cut_lineage(with_segments(cases.select("raw_description").distinct(),
-                                         "raw_description").select("raw_description", "semantic_text"))
-    cases = cut_lineage(cases.join(semantic, "raw_description").filter(F.col("semantic_text") != ""))
+    cases = _cases(rows, misses)
     texts = V.with_vectors(cases.select("semantic_text").distinct(), "semantic_text", hashed_vector)
     hits = cut_lineage(V.child_hits(texts.withColumn("request_id", F.col("semantic_text")), children))
     pairs = cases.select("semantic_text", "form_code").distinct().withColumn(
@@ -259,11 +276,29 @@ def eval_vector_recall(spark, d):
         pairs.select("semantic_text", "pair_id"), "semantic_text").withColumnRenamed(
         "pair_id", "request_id")
     ranked = V.by1_from_hits(per_pair, pairs.select(F.col("pair_id").alias("request_id"),
-                                                    "form_code"), 50)
+                                                    "form_code"), 50, evaluation=True)
     rankings = ranked.join(pairs.withColumnRenamed("pair_id", "request_id"), "request_id")
     return E.vector_recall(cases.drop("parsed_spec"), rankings, past(rows).select("by1"))
 
 
+@query("eval_vector_recall", _recall_sql("hold"))
+def eval_vector_recall(spark, d):
+    return _vector_recall(spark, d)
+
+
+@query("eval_vector_recall_misses", _recall_sql("missed"))
+def eval_vector_recall_misses(spark, d):
+    return _vector_recall(spark, d, misses=True)
+
+
+@query("eval_vector_inputs", sql("""
+SELECT count(*) FILTER (by1 IN (SELECT by1 FROM hist)) AS known, count(*) FILTER (by1 NOT IN (SELECT by1 FROM hist)) AS unknown, count(DISTINCT s.semantic_text) AS unique_semantic,
+  count(DISTINCT (s.semantic_text, h.form_code)) AS unique_semantic_form_pairs FROM missed h JOIN segs s ON s.raw = h.raw_description WHERE s.semantic_text <> ''""", "missed", "segs", "hist"))
+def eval_vector_inputs(spark, d):
+    rows = stored(spark, d)
+    return E.recall_inputs(_cases(rows, misses=True), past(rows).select("by1"))
+
+
 # Template retrieval: training templates, weighted holdout cases designed without their variety.
 part("rt_train", "SELECT * FROM dorders WHERE role = 'valve' AND date <= DATE '2000-06-30'", "dorders")
 part("rt_tpl", f"""
@@ -404,8 +439,12 @@ def append_descriptions(spark, d):
 def stream_appends(spark, d):
     new, start = _appends(spark, d)
     base = f"{shared_folder(spark)}/append-{uuid.uuid4().hex}"
-    new.repartitionByRange(2, "seq").write.parquet(f"{base}/in")
-    stream = spark.readStream.schema(new.schema).parquet(f"{base}/in")
+    cuts = new.approxQuantile("seq", [1 / 3, 2 / 3], 0.01) or [0.0, 0.0]
+    for part in (F.col("seq") <= cuts[0], (F.col("seq") > cuts[0]) & (F.col("seq") <= cuts[1]),
+                 F.col("seq") > cuts[1]):
+        new.filter(part).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = (spark.readStream.schema(new.schema).option("maxFilesPerTrigger", 1)
+              .parquet(f"{base}/in"))
     ST.append_stream(stream, start, f"{base}/store", f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/store/reports").select(*_APP)
 

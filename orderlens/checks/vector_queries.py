@@ -51,8 +51,8 @@ def score_threshold(spark, d):
 
 part("pool", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS rank FROM pairs) WHERE rank <= 300", "pairs")
 part("by1c", """
-SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, by1) AS rank FROM (
-  SELECT qid, by1, round_even(0.85 * max(score) + 0.15 * avg(score) FILTER (rn <= 3) + CASE WHEN bool_or(fits) THEN 0.03 ELSE 0 END, 4) AS score,
+SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, first_hit, by1) AS rank FROM (
+  SELECT qid, by1, min(rank) AS first_hit, round_even(0.85 * max(score) + 0.15 * avg(score) FILTER (rn <= 3) + CASE WHEN bool_or(fits) THEN 0.03 ELSE 0 END, 4) AS score,
     round_even(max(score), 4) AS vector_score, sum(support)::BIGINT AS support, bool_or(fits) AS form_match, string_agg(example, '|' ORDER BY rn) FILTER (rn <= 3) AS texts
   FROM (SELECT h.*, c.by1, c.support, c.example, c.form_code = q.form_code AS fits, row_number() OVER (PARTITION BY qid, c.by1 ORDER BY rank) AS rn
     FROM pool h JOIN e c ON c.id = h.pid JOIN e q ON q.id = h.qid) GROUP BY qid, by1)""", "pool", "e")

@@ -136,10 +136,12 @@ def child_hits(requests: DataFrame, children: DataFrame, pool: int = CHILD_POOL,
 
 
 def by1_from_hits(hits: DataFrame, request_forms: DataFrame | None = None, k: int = 50,
-                  ) -> DataFrame:
+                  evaluation: bool = False) -> DataFrame:
     """Variety candidates per request from vector hits, best first, at most 50.
 
-    hits: request_id, by1, form_code, support, example, description, score, rank.
+    hits: request_id, by1, form_code, support, example, description, score, rank. Candidates are
+    ordered by the score of four digits, ties by their best hit; with evaluation by the score
+    itself (nine digits), ties by the code downwards.
     """
     k = max(1, min(int(k), 50))
     if request_forms is not None:
@@ -156,6 +158,7 @@ def by1_from_hits(hits: DataFrame, request_forms: DataFrame | None = None, k: in
     top3 = F.col("at") <= 3
     grouped = placed.groupBy("request_id", "by1").agg(
         F.max("score").alias("best"), F.avg(F.when(top3, F.col("score"))).alias("mean3"),
+        F.min("rank").alias("first_hit"),
         F.sum(F.coalesce(F.col("support"), F.lit(1))).cast("bigint").alias("support"),
         F.max("fits").alias("form_match"),
         F.array_sort(F.collect_list(F.when(top3, F.struct("at", "text")))).alias("texts"))
@@ -164,8 +167,11 @@ def by1_from_hits(hits: DataFrame, request_forms: DataFrame | None = None, k: in
     scored = grouped.select(
         "request_id", "by1", F.bround(score, 4).alias("score"),
         F.bround("best", 4).alias("vector_score"), "support", "form_match",
-        F.col("texts.text").alias("matched_descriptions"))
-    return top_k(scored, ["request_id"], [F.desc("score"), F.asc("by1")], k)
+        F.col("texts.text").alias("matched_descriptions"), "first_hit",
+        F.round(score, 9).alias("exact"))
+    order = ([F.desc("exact"), F.desc("by1")] if evaluation
+             else [F.desc("score"), F.asc("first_hit"), F.asc("by1")])
+    return top_k(scored, ["request_id"], order, k).drop("first_hit", "exact")
 
 
 def parse_rerank_payloads(payloads: DataFrame) -> DataFrame:
