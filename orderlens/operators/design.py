@@ -85,7 +85,8 @@ def _extract(pairs: DataFrame, dictionary: Dictionary) -> DataFrame:
         "product_role": role(text),
         "family": family(text, F.nullif(F.col("hint"), F.lit("")))})
     found = [F.when(matches(text, p), F.lit(v)) for p, v in SPECIALS]
-    matched = with_matches(staged, dictionary.terms, ["raw_description", "hint"], "text", "family")
+    # Distinct texts only; matching reads them twice.
+    matched = with_matches(cut_lineage(staged), dictionary.terms, ["raw_description", "hint"], "text", "family")
     return matched.withColumns({
         "p_pressure": design_pressure(text),
         "p_special": F.nullif(F.concat_ws("; ", *found), F.lit(""))})

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.standardize import with_segments
-from ..plans.scale import over_distinct
 from ..sources.orders import usable
 
 RECORD_KEY = ["description", "form_code", "by1", "spec"]
@@ -30,8 +29,8 @@ def recommendation_records(rows: DataFrame) -> DataFrame:
         "spec_prefix": F.coalesce(F.col("parsed_spec.prefix"), F.lit("")),
         "spec_size": F.coalesce(F.col("parsed_spec.size"), F.lit("")),
     }).drop("parsed_spec")
-    return over_distinct(records, ["example"], lambda d: with_segments(d, "example").select(
-        "example", F.col("semantic_text").alias("semantic_description")))
+    return with_segments(records, "example").select(
+        *records.columns, F.col("semantic_text").alias("semantic_description"))
 
 
 def record_counters(rows: DataFrame) -> DataFrame:
