@@ -27,8 +27,16 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-def bucket(word: str, buckets: int) -> int:
-    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % buckets
+def places_of(word: str, buckets: int) -> tuple[int, int]:
+    """Two buckets of a word, from the low and the high bits of its hash; its embedding is the mean
+    of both rows, so a word that shares one row with another is only half like it."""
+    code = zlib.crc32(word.encode("utf-8", "surrogatepass"))
+    return code % buckets, code * buckets >> 32
+
+
+def embedded(words: list[str], embeddings: np.ndarray) -> np.ndarray:
+    ids = np.array([places_of(w, len(embeddings)) for w in words], np.int64).reshape(-1, 2)
+    return embeddings[ids].mean(axis=1)
 
 
 @dataclass
@@ -75,7 +83,7 @@ class ConvClassifier:
                     {w: np.zeros(filters, np.float32) for w in widths},
                     (rng.standard_normal(filters * len(widths)) * 0.1).astype(np.float32))
         pad = np.zeros((max(widths) - 1, dim), np.float32)
-        texts = [np.fromiter((bucket(w, buckets) for w in words_of(t)), np.int64)
+        texts = [np.array([places_of(w, buckets) for w in words_of(t)], np.int64).reshape(-1, 2)
                  for t in descriptions]
         sizes = np.array([labels.count(0) + 1, labels.count(1) + 1], np.float32)
         counts = np.tile(4 * sizes[:, None] / sizes.sum(), buckets)
@@ -97,7 +105,7 @@ class ConvClassifier:
         for _ in range(epochs):
             for i in rng.permutation(len(texts)):
                 ids = texts[i]
-                vectors = np.concatenate([pad, model.embeddings[ids], pad])
+                vectors = np.concatenate([pad, model.embeddings[ids].mean(axis=1), pad])
                 tops, places = model.pooled(vectors)
                 live = np.maximum(tops, 0)
                 error = 1 / (1 + np.exp(-np.clip(live @ model.output + model.bias, -30, 30))) \
@@ -121,8 +129,8 @@ class ConvClassifier:
                         for k in range(width):
                             place = at + k - len(pad)
                             if 0 <= place < len(ids):
-                                b = int(ids[place])
-                                toward[b] = toward.get(b, 0) + part[f] * kernel[k, :, f]
+                                for b in ids[place].tolist():
+                                    toward[b] = toward.get(b, 0) + 0.5 * part[f] * kernel[k, :, f]
                     seen[width] += change ** 2
                     kernel -= rate * change / np.sqrt(seen[width])
                     seen[-width] += part ** 2
@@ -139,9 +147,8 @@ class ConvClassifier:
         return model
 
     def score(self, text: str | None) -> float:
-        ids = np.fromiter((bucket(w, len(self.embeddings)) for w in words_of(text)), np.int64)
         pad = np.zeros((max(self.filters) - 1, self.embeddings.shape[1]), np.float32)
-        tops, _ = self.pooled(np.concatenate([pad, self.embeddings[ids], pad]))
+        tops, _ = self.pooled(np.concatenate([pad, embedded(words_of(text), self.embeddings), pad]))
         return float(1 / (1 + np.exp(-np.clip(np.maximum(tops, 0) @ self.output + self.bias,
                                               -500, 500))))
 
@@ -214,7 +221,6 @@ def score_toxicity(rows: DataFrame, model: ConvClassifier, threshold: float = 0.
 
     def score(batches):
         embeddings = shared.value
-        size = len(embeddings)
         place: dict[str, int] = {}
         rows_ = np.zeros((1024, table.shape[1]), np.float32)
         for batch in batches:
@@ -230,8 +236,7 @@ def score_toxicity(rows: DataFrame, model: ConvClassifier, threshold: float = 0.
                         grown = np.zeros((2 * (first + len(new)), table.shape[1]), np.float32)
                         grown[:first] = rows_[:first]
                         rows_ = grown
-                    rows_[first:first + len(new)] = embeddings[
-                        [bucket(w, size) for w in new]] @ table
+                    rows_[first:first + len(new)] = embedded(new, embeddings) @ table
                     place.update(zip(new, range(first, first + len(new)), strict=True))
                 ids = np.zeros(len(words) + 2 * deep, np.int64)
                 ids[deep:deep + len(words)] = [place[w] for w in words]
