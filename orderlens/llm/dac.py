@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .rows import slices
+from .rows import slices, written
 
 MAGIC = b"DACTOK01"
 CHUNK_BITS, BLOCK_BITS = 8, 512
@@ -217,9 +217,8 @@ def write_token_files(rows: DataFrame, path: str, tokenizer: str, end_id: int,
         if held:
             yield close()
 
-    order = ["row_id", "description"]
     (rows.select(F.col("row_id").cast("long").alias("row_id"), "description")
-     .repartitionByRange(*order).sortWithinPartitions(*order)
+     .repartitionByRange("row_id").sortWithinPartitions("row_id", "description")
      .mapInArrow(pack, "part int, shard int, tokens long, image binary")
      .write.parquet(path))
 
@@ -237,8 +236,9 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = whole.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.join(parts, "part").select("part", "shard", (
-        F.col("base") + F.coalesce(F.sum("tokens").over(inside), F.lit(0))).alias("first"))
+    # Written first: as a small table it reaches the images without a shuffle of them.
+    starts = written(sizes.join(parts, "part").select("part", "shard", (
+        F.col("base") + F.coalesce(F.sum("tokens").over(inside), F.lit(0))).alias("first")), "starts")
 
     def unpack(batches):
         for batch in batches:
