@@ -18,9 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rows import labelled_sample
+from .rows import labelled_sample, slices
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
+TEXTS = 256
 REPEAT_MARK = b"<repeated word>"
 
 
@@ -129,7 +130,7 @@ def score_quality(rows: DataFrame, model: SubwordClassifier, threshold: float =
         size = len(odds)
         mark = odds[zlib.crc32(REPEAT_MARK) % size]
         known: dict[str, tuple[float, int]] = {}
-        for batch in batches:
+        for batch in slices(batches, TEXTS):
             out = np.full(batch.num_rows, base)
             for i, text in enumerate(batch.column("description").to_pylist()):
                 words = (text or "").lower().split()

@@ -16,10 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import connected
-from .rows import runs, written
+from .rows import runs, slices, written
 
 SHARD = 512
 BLOCK_ROWS = 16_384
+TEXTS = 256
 
 
 def fingerprint_of(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -50,7 +51,7 @@ def fingerprint_of(text: str | None, width: int = 3, seed: int = 42) -> int:
 def fingerprints(rows: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
     """row_id and fingerprint (long, the 64 bits signed) of every description row, one pass."""
     def hashed(batches):
-        for batch in batches:
+        for batch in slices(batches, TEXTS):
             found = np.array([fingerprint_of(t, width, seed)
                               for t in batch.column("description").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays(

@@ -16,10 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rows import labelled_sample
+from .rows import labelled_sample, slices
 
 WORD = re.compile(r"[^\W_]+")
 CACHE_WORDS = 100_000
+TEXTS = 256
 RARE = 3  # words of fewer texts start without odds; they would only tell the texts apart
 
 
@@ -223,7 +224,7 @@ def score_toxicity(rows: DataFrame, model: ConvClassifier, threshold: float = 0.
         embeddings = shared.value
         place: dict[str, int] = {}
         rows_ = np.zeros((1024, table.shape[1]), np.float32)
-        for batch in batches:
+        for batch in slices(batches, TEXTS):
             out = np.empty(batch.num_rows)
             for i, text in enumerate(batch.column("description").to_pylist()):
                 words = words_of(text)
