@@ -143,6 +143,51 @@ def test_many_holders_of_a_passage(spark):
     assert {r["row_id"] for r in got} == set(range(1, 150)) and {r["partner_id"] for r in got} == {0}
 
 
+def test_edited_passages_behind_unrelated_rows(spark):
+    """Smaller rows hold every 30 words of both versions, so no stretch beside a centre is rare."""
+    rng = random.Random(31)
+    texts, pairs, hiding = [], [], []
+    for k in range(6):
+        one = prose(rng, 60)
+        two = one[:30] + ["changed"] + one[31:]
+        hiding += [prose(rng, 15) + v[i:i + 30] + prose(rng, 15) for v in (one, two) for i in range(31)]
+        pairs.append((1000 + 2 * k, 1001 + 2 * k))
+        texts += [(1000 + 2 * k, prose(rng, 10) + one), (1001 + 2 * k, two + prose(rng, 10))]
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in [*enumerate(hiding), *texts]],
+                                 "row_id long, description string")
+    got = {}
+    for r in passages.repeated_passages(rows).collect():
+        got.setdefault((r["partner_id"], r["row_id"]), set()).update(range(r["start"], r["stop"]))
+    assert got == {p: set(range(60)) for p in pairs}
+
+
+@pytest.mark.parametrize("shard", [7, 256])
+def test_crowded_centres_meet_in_shards(spark, monkeypatch, shard):
+    monkeypatch.setattr(passages, "SHARD", shard)
+    rng = random.Random(14)
+    line = prose(rng, 20)
+    texts = [prose(rng, 40) + line + prose(rng, 40) for _ in range(120)]
+    for i in range(60, 120, 3):  # an exact passage around the line, and copies of another
+        at = rng.randrange(60)
+        texts[i] = texts[i][:30] + texts[at][20:80] + texts[i][70:]
+    texts += [texts[5], texts[61], texts[61]]
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)],
+                                 "row_id long, description string")
+    held = {}
+    for i, t in enumerate(texts):
+        for j in range(len(t) - 49):
+            held.setdefault(tuple(t[j:j + 50]), []).append((i, j))
+    got = {}
+    for r in passages.repeated_passages(rows).collect():
+        assert r["partner_id"] < r["row_id"]
+        got.setdefault(r["row_id"], set()).update(range(r["start"], r["stop"]))
+    want = {}
+    for places in held.values():
+        for i, j in places[1:]:
+            want.setdefault(i, set()).update(range(j, j + 50))
+    assert set(got) == set(want) and all(got[i] >= want[i] for i in want)
+
+
 def brute_links(vectors, least):
     units = [lattice.unit_vector(v) for v in vectors]
     return [(i, j) for i, u in enumerate(units) for j, w in enumerate(units) if i != j
