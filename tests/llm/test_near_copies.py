@@ -188,6 +188,22 @@ def test_crowded_centres_meet_in_shards(spark, monkeypatch, shard):
     assert set(got) == set(want) and all(got[i] >= want[i] for i in want)
 
 
+def test_explained_windows_stay_partners(spark):
+    """A = P + L, B = P + L + Q, C = R + L + Q: C shares the 50 words L + Q with B only."""
+    rng = random.Random(45)
+    texts = []
+    for _ in range(120):
+        p, line, q, r = prose(rng, 40), prose(rng, 45), prose(rng, 5), prose(rng, 40)
+        texts += [p + line, p + line + q, r + line + q]
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)],
+                                 "row_id long, description string")
+    got = {(r["row_id"], r["partner_id"]): (r["start"], r["stop"])
+           for r in passages.repeated_passages(rows).collect()}
+    for k in range(0, 360, 3):
+        assert got[k + 1, k] == (0, 85) and got[k + 2, k + 1] == (40, 90)
+    assert len(got) == 240
+
+
 def brute_links(vectors, least):
     units = [lattice.unit_vector(v) for v in vectors]
     return [(i, j) for i, u in enumerate(units) for j, w in enumerate(units) if i != j
