@@ -204,6 +204,30 @@ def test_explained_windows_stay_partners(spark):
     assert len(got) == 240
 
 
+def test_passage_whose_lines_stand_alone_earlier():
+    def spans(one, other):
+        hashed = [passages.shingle_hashes([w.encode() for w in t], {}) for t in (one, other)]
+        return {(a, b + 5, c, d + 5) for a, b, c, d, _ in passages.similar_passages(*hashed, 46, 0.8)}
+
+    for seed in range(30):
+        rng = random.Random(seed)
+        passage, noise = prose(rng, 50), [prose(rng, 40) for _ in range(5)]
+        head, tail = passage[:10], passage[35:]
+        # the opening line earlier, after the same word, and all words earlier in two pieces
+        for other in (head + noise[0] + passage, noise[1][-1:] + head + noise[0] + passage,
+                      passage[:30] + noise[0] + passage[20:] + noise[2] + passage,
+                      tail + noise[0] + head + noise[2] + passage + noise[3]):
+            at = next(i for i in range(len(other)) if other[i:i + 50] == passage)
+            assert (40, 90, at, at + 50) in spans(noise[1] + passage + noise[4], other)
+        long = passage + prose(rng, 40)
+        edited = long[:60] + ["changed"] + long[61:]
+        assert (40, 130, 50, 140) in spans(noise[1] + edited, head + noise[0] + long)
+        # two equal passages of the partner overlap in one
+        p, line, q = prose(rng, 20), prose(rng, 45), prose(rng, 5)
+        got = spans(p + line + q, p + line + noise[0] + line + q)
+        assert {(0, 65, 0, 65), (20, 70, 105, 155)} <= got
+
+
 def brute_links(vectors, least):
     units = [lattice.unit_vector(v) for v in vectors]
     return [(i, j) for i, u in enumerate(units) for j, w in enumerate(units) if i != j
