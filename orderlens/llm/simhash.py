@@ -62,6 +62,20 @@ def fingerprints(rows: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
         hashed, "row_id long, fingerprint long")
 
 
+def with_fingerprint(rows: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
+    """All columns of description rows and fingerprint (16 lowercase hex digits)."""
+    rows = rows.drop("fingerprint")
+
+    def hashed(batches):
+        for batch in slices(batches, TEXTS):
+            found = [f"{fingerprint_of(t, width, seed):016x}"
+                     for t in batch.column("description").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())],
+                                             [*batch.schema.names, "fingerprint"])
+
+    return rows.mapInArrow(hashed, rows.withColumn("fingerprint", F.lit(None).cast("string")).schema)
+
+
 class BKTree:
     """Integers by Hamming distance: a child hangs under the distance to its parent."""
 

@@ -96,3 +96,14 @@ def test_stages_on_odd_rows(spark, folder):
     for docs in (odd, odd.limit(0)):
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, docs, folder).count() <= docs.count()
+
+
+def test_near_copies_tell_texts_of_one_doc_id_apart(spark):
+    rng = random.Random(3)
+    one, two, three = (" ".join(f"w{rng.randrange(5000)}" for _ in range(60)) for _ in range(3))
+    docs = spark.createDataFrame([(5, one, "en", "s", 1), (3, one, "en", "s", 1), (5, two, "de", "s", 2),
+                                  (5, two, "de", "s", 2), (None, three, "en", "s", 3)], SCHEMA)
+    got = corpus_pipeline.near_copies(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(
+        [(3, one, "en", "s", 1), (5, two, "de", "s", 2), (None, three, "en", "s", 3)], key=str)
