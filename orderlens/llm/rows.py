@@ -1,4 +1,4 @@
-"""Description rows, labelled samples and the run-by-run reading of sorted Arrow batches."""
+"""Description rows, the order of turns, labelled samples and the run-by-run reading of sorted Arrow batches."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.scale import shared_folder
@@ -18,6 +18,19 @@ def description_rows(documents: DataFrame, *more: str) -> DataFrame:
                             *more)
 
 
+def turn_order(turn: Column, role: Column, text: Column) -> list[Column]:
+    """Order of a conversation's rows: turn with nulls first, then role and text by their first 32
+    characters, then a digest of both in full."""
+    return [turn.isNotNull().alias("dated"), F.coalesce(turn, F.lit(0)).alias("turn"),
+            F.left(role, F.lit(32)).alias("role_head"), F.left(text, F.lit(32)).alias("text_head"),
+            turn_digest(role, text).alias("digest")]
+
+
+def turn_digest(role: Column, text: Column) -> Column:
+    return F.md5(F.concat(F.char_length(role).cast("string"), F.lit(":"), role, text)
+                 .cast("binary"))
+
+
 def labelled_sample(rows: DataFrame, labels: DataFrame, per_label: int, max_chars: int) -> DataFrame:
     """At most per_label rows of each label 0 and 1, the first ones by a hash of row_id.
 
