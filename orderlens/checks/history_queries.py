@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import blank
 from ..operators import cascade as K
 from ..operators import design as DS
+from ..operators import evidence as EV
 from ..operators import fuzzy as Z
 from ..operators import history as H
 from ..operators import rules as R
@@ -14,7 +15,8 @@ from ..operators.rules import mature_attribute_rules
 from ..plans import jobs as J
 from ..plans.scale import cut_lineage
 from ..sources.orders import TRAIN_BEFORE, VALIDATION_BEFORE, order_history, window_tag
-from .inputs import history, keys, later, past, prepared, requests, stored
+from .inputs import (as_lookup, history, keys, later, needed, new_folder, past, prepared, requests,
+                     stored)
 from .oracle_parts import PARTS, first_hits, label, part, sql
 from .registry import query
 
@@ -167,12 +169,18 @@ def attribute_rules(spark, d):
 _NAME = "CASE level WHEN 'description_form' THEN 'description_form_code' WHEN 'rule' THEN 'mature_form_rule' ELSE level END"
 
 
+ASKED = ["date", "raw_description", "description", "form_code", "by1", "spec", "customer_key"]
+RULED = [*ASKED, "parsed_spec"]
+LEGACY = [*RULED, "row_id", "document_key"]
+
+
 @query("exact_by1", sql(f"""
 SELECT query, form_code, {_NAME} AS match_level, rank, value, round_even(n / total, 4) AS score, n::BIGINT AS support FROM by1_hit WHERE rank <= 5""",
     "by1_hit"))
 def exact_by1(spark, d):
-    rows = stored(spark, d)
-    answers = K.by1_answers(keys(later(rows)), H.evidence_levels(past(rows), "by1"))
+    rows = needed(spark, d, *ASKED)
+    index = as_lookup(EV.evidence_index(past(rows), "by1"), EV.KEYS)
+    answers = K.by1_answers(keys(later(rows)), index)
     return answers.select("query", "form_code", F.col("by1_match_level").alias("match_level"),
                           F.explode("by1_candidates").alias("c")).select(
         "query", "form_code", "match_level", F.col("c.rank").cast("bigint").alias("rank"),
@@ -201,9 +209,9 @@ SELECT query, form_code, customer_key, match_level, rank, value, score, support,
     CASE WHEN level = 'rule' THEN 'high' ELSE {label('first_value(round_even(n / total, 4)) OVER w', 'first_value(n) OVER w')} END AS confidence
   FROM spec_hit WHERE rank <= 10 WINDOW w AS (PARTITION BY query, form_code, customer_key ORDER BY rank))""", "spec_hit"))
 def exact_spec(spark, d):
-    rows = stored(spark, d)
-    answers = K.spec_answers(keys(later(rows), customer=True),
-                             H.evidence_levels(past(rows), "spec"), _form_rules(rows))
+    rows = needed(spark, d, *RULED)
+    index = as_lookup(EV.evidence_index(past(rows), "spec"), EV.KEYS)
+    answers = K.spec_answers(keys(later(rows), customer=True), index, _form_rules(rows))
     return answers.select(
         "query", "form_code", "customer_key", F.col("spec_match_level").alias("match_level"),
         F.col("spec_confidence").alias("confidence"), blank(F.col("inferred_spec"))
@@ -246,10 +254,31 @@ def _legacy_rows(answers):
 
 @query("legacy_spec", sql("SELECT * FROM legacy_out WHERE rank <= 50", "legacy_out"))
 def legacy_spec(spark, d):
-    rows = stored(spark, d)
+    rows = needed(spark, d, *LEGACY)
     rules = R.prefix_rules(cut_lineage(R.rule_rows(rows, "by1")))
     asked = keys(later(rows), "by1", customer=True)
-    return _legacy_rows(K.legacy_answers(asked, H.legacy_evidence_levels(past(rows)), rules))
+    index = as_lookup(EV.legacy_evidence_index(past(rows)), EV.KEYS)
+    return _legacy_rows(K.legacy_answers(asked, index, rules))
+
+
+@query("written_index", sql(" UNION ALL ".join(
+    f"SELECT '{kind}' AS kind, level, description, form_code, customer_key, rank, value, n::BIGINT AS n, total::BIGINT AS total, count(*) OVER k AS candidates "
+    f"FROM rk_{kind} WHERE form_code <> '' OR level IN ('description', 'description_customer') WINDOW k AS (PARTITION BY level, description, form_code, customer_key)"
+    for kind in ("by1", "spec", "legacy")), "rk_by1", "rk_spec", "rk_legacy"))
+def written_index(spark, d):
+    """Both indexes stored and read again, their evidence as long rows."""
+    rows = stored(spark, d)
+    path = new_folder(spark, "index")
+    J.write_index(J.build_recommendation_index(rows, VALIDATION_BEFORE), f"{path}/recommendation")
+    J.write_index(J.build_spec_index(rows, VALIDATION_BEFORE), f"{path}/specification")
+    read = {**J.read_index(spark, f"{path}/recommendation", ["by1_evidence", "spec_evidence"]),
+            **J.read_index(spark, f"{path}/specification", ["evidence"])}
+    out = None
+    for kind, name in (("by1", "by1_evidence"), ("spec", "spec_evidence"), ("legacy", "evidence")):
+        part = EV.evidence_rows(read[name]).select(
+            F.lit(kind).alias("kind"), "*").withColumn("rank", F.col("rank").cast("long"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 # Fuzzy inference.

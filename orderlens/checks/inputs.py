@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.scale import cut_lineage
+from ..operators.publish import read_lookup, write_lookup
+from ..plans.scale import cut_lineage, shared_folder
 from ..sources.orders import (VALIDATION_BEFORE, before, holdout_rows, load_orders, load_points,
                               order_history, prepare_orders, read_table)
 
@@ -19,6 +22,25 @@ def stored(spark: SparkSession, d: str) -> DataFrame:
     return cut_lineage(prepared(spark, d))
 
 
+def needed(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Some columns of the prepared rows, written once and read by column."""
+    path = new_folder(spark, "prepared")
+    prepared(spark, d).select(*columns).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the folder that all executors share."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def as_lookup(index: DataFrame, keys: list[str]) -> DataFrame:
+    """The index as a stored table of buckets."""
+    path = new_folder(index.sparkSession, "lookup")
+    write_lookup(index, path, keys)
+    return read_lookup(index.sparkSession, path)
+
+
 def history(spark: SparkSession, d: str) -> DataFrame:
     return past(prepared(spark, d))
 

@@ -13,6 +13,7 @@ from ..functions.vectors import hashed_vector
 from ..operators import cascade as K
 from ..operators import design as DS
 from ..operators import evaluate as E
+from ..operators import evidence as EV
 from ..operators import history as H
 from ..operators import products as P
 from ..operators import publish as U
@@ -24,7 +25,7 @@ from ..plans.scale import cut_lineage, shared_folder
 from ..sources.orders import VALIDATION_BEFORE, order_history, read_table
 from ..streaming import jobs as ST
 from . import vector_queries  # noqa: F401  (its SQL parts are used here)
-from .inputs import keys, later, past, requests, stored
+from .inputs import keys, later, new_folder, past, requests, stored
 from .oracle_parts import finish_sql, norm, part, sql
 from .registry import ORACLES, query
 from .text_queries import _uuid5
@@ -256,7 +257,7 @@ def _cases(rows, misses: bool = False):
     """Holdout rows with a semantic text; misses: only those that exact history cannot answer."""
     cases = later(rows)
     if misses:
-        found = K.by1_answers(keys(cases), H.evidence_levels(past(rows), "by1")).filter(
+        found = K.by1_answers(keys(cases), EV.evidence_index(past(rows), "by1")).filter(
             F.size("by1_candidates") > 0).select(F.col("query").alias("raw_description"), "form_code")
         cases = cases.join(found.distinct(), ["raw_description", "form_code"], "left_anti")
     semantic = with_segments(cases.select("raw_description").distinct(),
@@ -452,19 +453,43 @@ def stream_appends(spark, d):
 @query("stream_scores", ORACLES["recommend_exact"])
 def stream_scores(spark, d):
     rows = stored(spark, d)
-    index = {k: cut_lineage(v) for k, v in J.build_recommendation_index(
-        rows, VALIDATION_BEFORE).items() if k in ("by1_evidence", "spec_evidence", "form_rules")}
-    base = f"{shared_folder(spark)}/score-{uuid.uuid4().hex}"
-    requests(rows).repartition(2).write.parquet(f"{base}/in")
-    stream = (spark.readStream.schema(spark.read.parquet(f"{base}/in").schema)
-              .option("maxFilesPerTrigger", 1).parquet(f"{base}/in"))
-    ST.score_requests(stream, ST.recommendation_scorer(index), f"{base}/out",
-                      f"{base}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{base}/out").select(
+    built = J.build_recommendation_index(rows, VALIDATION_BEFORE)
+    used = ["by1_evidence", "spec_evidence", "form_rules"]
+    base = new_folder(spark, "score")
+    J.write_index({name: built[name] for name in used}, f"{base}/index")
+    scorer = ST.recommendation_scorer(J.read_index(spark, f"{base}/index", used))
+    return _streamed(spark, requests(rows).repartition(2), scorer, base).select(
         "request_id", "by1_match_level", T.blank(F.col("by1_candidates")[0]["value"])
         .alias("by1_first"), "by1_support")
 
 
+def _streamed(spark, asked, scorer, base):
+    """Requests of a folder scored as a stream, one file a batch."""
+    asked.write.parquet(f"{base}/in")
+    stream = (spark.readStream.schema(spark.read.parquet(f"{base}/in").schema)
+              .option("maxFilesPerTrigger", 1).parquet(f"{base}/in"))
+    ST.score_requests(stream, scorer, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
+@query("stream_specs", ORACLES["infer_spec"])
+def stream_specs(spark, d):
+    """Specification requests as a stream of three batches over a stored index."""
+    rows = stored(spark, d)
+    named = order_history(spark, d).select("row_id", "customer")
+    asked = later(rows).join(named, "row_id").select(
+        F.col("row_id").alias("request_id"), F.col("raw_description").alias("query"), "customer",
+        F.col("by1").alias("form_code"))
+    base = new_folder(spark, "specs")
+    used = ["records", "customers", "evidence"]
+    J.write_index(J.build_spec_index(rows, VALIDATION_BEFORE), f"{base}/index")
+    scorer = ST.specification_scorer(J.read_index(spark, f"{base}/index", used),
+                                     cut_lineage(J.build_spec_rules(rows)["rules"]))
+    return _streamed(spark, asked.repartition(3), scorer, base).select(
+        "request_id", "match_level", "confidence", "confidence_score",
+        T.blank(F.col("inferred_spec")).alias("inferred_spec"))
+
+
 # Published tables.
 part("recs", """
 SELECT r.*, s.semantic_text AS semantic FROM (SELECT description, form_code, by1, spec, count(*) AS n, min_by(raw_description, (date, row_id)) AS ex, min(date) AS d0, max(date) AS d1,

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codes import spec_number
 from ..functions.sizes import infer_size, size_candidates
 from ..functions.text import fingerprint, normalize_code, normalize_text, split_context
+from .evidence import exact_hits
 
 # Level orders. "rule" is the mature-rule step; "profile" and "fuzzy" are the last resorts.
 BY1_ORDER = ["description_form_customer", "description_form", "description_customer",
@@ -44,46 +45,6 @@ def request_keys(parsed: DataFrame) -> DataFrame:
     return parsed.filter(F.col("status") == "ok").select(*KEY).distinct()
 
 
-def ranked_evidence(evidence: DataFrame, k: int) -> DataFrame:
-    """One row per evidence key: total, number of candidates and the k best values.
-
-    A key's group holds one row per distinct value code, never one per order.
-    """
-    key = ["level", "description", "form_code", "customer_key"]
-    everything = Window.partitionBy(*key)
-    best = everything.orderBy(F.desc("n"), F.asc("value"))
-    return (evidence.withColumns({
-        "total": F.sum("n").over(everything), "candidates": F.count(F.lit(1)).over(everything),
-        "rank": F.row_number().over(best)})
-        .filter(F.col("rank") <= k).groupBy(*key).agg(
-        F.first("total").alias("total"), F.first("candidates").alias("candidates"),
-        F.array_sort(F.collect_list(F.struct("rank", "value", "n"))).alias("ranked")))
-
-
-def exact_hits(keys: DataFrame, ranked: DataFrame) -> DataFrame:
-    """Every (request key, level) with evidence."""
-    form, customer = F.col("form_code") != "", F.col("customer_key") != ""
-    blank = F.lit("")
-
-    def probe(level: str, f: Column, c: Column) -> Column:
-        return F.struct(F.lit(level).alias("level"), F.col("description").alias("d"),
-                        f.alias("f"), c.alias("c"))
-
-    probes = F.array_compact(F.array(
-        F.when(form & customer, probe("description_form_customer", F.col("form_code"),
-                                      F.col("customer_key"))),
-        F.when(form, probe("description_form", F.col("form_code"), blank)),
-        F.when(customer, probe("description_customer", blank, F.col("customer_key"))),
-        probe("description", blank, blank)))
-    asked = keys.withColumn("p", F.explode(probes))
-    e = ranked.select(F.col("level").alias("e_level"), F.col("description").alias("e_d"),
-                      F.col("form_code").alias("e_f"), F.col("customer_key").alias("e_c"),
-                      "total", "candidates", "ranked")
-    return asked.join(e, (F.col("p.level") == F.col("e_level")) & (F.col("p.d") == F.col("e_d"))
-                      & (F.col("p.f") == F.col("e_f")) & (F.col("p.c") == F.col("e_c"))).select(
-        *KEY, F.col("e_level").alias("level"), "total", "candidates", "ranked")
-
-
 def rule_hits(keys: DataFrame, rules: DataFrame) -> DataFrame:
     """Mature prefix rules whose form and inferred size both apply."""
     prefixes = rules.filter(F.col("prefix").rlike(r"^\p{L}+$")).select(
@@ -130,9 +91,12 @@ def level_name(level: Column, names: dict) -> Column:
 
 
 def by1_answers(keys: DataFrame, evidence: DataFrame, k: int = 5) -> DataFrame:
-    """Variety candidates of the first exact level, at most k (1 to 20)."""
+    """Variety candidates of the first exact level, at most k (1 to 20).
+
+    evidence: an evidence index of varieties.
+    """
     k = max(1, min(int(k), 20))
-    hit = first_level(exact_hits(keys, ranked_evidence(evidence, k)), BY1_ORDER)
+    hit = first_level(exact_hits(keys, evidence, k), BY1_ORDER)
     return hit.select(*KEY, level_name(F.col("level"), RECOMMEND_LEVELS).alias("by1_match_level"),
                       F.col("total").alias("by1_support"),
                       shares(F.col("total"), F.col("ranked")).alias("by1_candidates"))
@@ -146,10 +110,10 @@ def spec_answers(keys: DataFrame, evidence: DataFrame, rules: DataFrame,
                  profiles: DataFrame | None = None) -> DataFrame:
     """Specification of each request key: exact form levels, rule, weaker levels, profiles.
 
-    ``profiles`` are template hits in the shape of exact hits with level "profile" and
-    template_ids.
+    evidence is an evidence index of specifications; ``profiles`` are template hits in the shape
+    of exact hits with level "profile" and template_ids.
     """
-    exact = exact_hits(keys, ranked_evidence(evidence, 10))
+    exact = exact_hits(keys, evidence, 10)
     hits = exact.unionByName(rule_hits(keys, rules), allowMissingColumns=True)
     if profiles is not None:
         hits = hits.unionByName(profiles, allowMissingColumns=True)
@@ -176,8 +140,11 @@ def spec_answers(keys: DataFrame, evidence: DataFrame, rules: DataFrame,
 
 def legacy_answers(keys: DataFrame, evidence: DataFrame, rules: DataFrame | None, k: int = 50,
                    ) -> DataFrame:
-    """Specification index answers: exact with customer, rule, weaker exact levels."""
-    hits = exact_hits(keys, ranked_evidence(evidence, max(1, int(k))))
+    """Specification index answers: exact with customer, rule, weaker exact levels.
+
+    evidence: a legacy evidence index.
+    """
+    hits = exact_hits(keys, evidence, max(1, int(k)))
     if rules is not None:
         hits = hits.unionByName(rule_hits(keys, rules), allowMissingColumns=True)
     else:

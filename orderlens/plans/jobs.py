@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.codes import record_id
 from ..functions.sizes import infer_size
 from ..functions.standardize import with_views
 from ..functions.vectors import hashed_vector
-from ..operators import cascade, fuzzy, history, rules, templates, vectors
+from ..operators import cascade, evidence, fuzzy, history, publish, rules, templates, vectors
 from ..operators.cascade import KEY
 from ..sources.orders import TRAIN_BEFORE, VALIDATION_BEFORE, before, usable
 from .scale import cut_lineage
@@ -24,8 +24,8 @@ def build_recommendation_index(rows: DataFrame, before_date: str | None = None,
     return {
         "records": history.recommendation_records(index),
         "counters": history.record_counters(index),
-        "by1_evidence": history.evidence_levels(index, "by1"),
-        "spec_evidence": history.evidence_levels(index, "spec"),
+        "by1_evidence": evidence.evidence_index(index, "by1"),
+        "spec_evidence": evidence.evidence_index(index, "spec"),
         "form_rules": cut_lineage(rules.prefix_rules(tagged, literal_spec=True)),
         "profile": history.source_profile(index),
     }
@@ -37,11 +37,36 @@ def build_spec_index(rows: DataFrame, before_date: str | None = None) -> dict:
     return {
         "records": cut_lineage(history.spec_records(index)),
         "customers": history.spec_record_customers(index),
-        "evidence": history.legacy_evidence_levels(index),
+        "evidence": evidence.legacy_evidence_index(index),
         "profile": history.source_profile(index),
     }
 
 
+# Sort order of the stored tables of both indexes; tables of LOOKUPS are bucketed by their keys.
+SORTED = {"records": ["by1", "form_code", "spec", "description"],
+          "counters": ["by1", "form_code", "spec", "description", "counter", "value"],
+          "customers": ["description", "form_code", "spec", "customer_key"],
+          "form_rules": ["form"], "profile": []}
+LOOKUPS = {"by1_evidence": evidence.KEYS, "spec_evidence": evidence.KEYS,
+           "evidence": evidence.KEYS}
+
+
+def write_index(index: dict, path: str, buckets: int | None = None) -> None:
+    """Store the tables of an index below a path: sorted files, evidence as tables of buckets."""
+    for name, table in index.items():
+        if name in LOOKUPS:
+            publish.write_lookup(table, f"{path}/{name}", LOOKUPS[name], buckets)
+        else:
+            order = [c for c in SORTED[name] if c in table.columns]
+            publish.write_table(table, f"{path}/{name}", sort_by=order)
+
+
+def read_index(spark: SparkSession, path: str, names: list[str]) -> dict:
+    """Tables of a stored index by name; answers read them without ranking or dealing evidence."""
+    return {name: publish.read_lookup(spark, f"{path}/{name}") if name in LOOKUPS
+            else spark.read.parquet(f"{path}/{name}") for name in names}
+
+
 def build_spec_rules(rows: DataFrame, train_before: str = TRAIN_BEFORE,
                      holdout_from: str = VALIDATION_BEFORE, min_train: int = 20,
                      min_validation: int = 5) -> dict:

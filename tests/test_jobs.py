@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orderlens.functions.vectors import unit
-from orderlens.operators import cascade, clustering, design, dictionary, fuzzy, products, publish
+from orderlens.operators import cascade, clustering, design, dictionary, evidence, fuzzy, products, publish
 from orderlens.operators import rules, templates, vectors
 from orderlens.plans.scale import ordered_rank, salted_lookup
 from orderlens.sources.orders import load_orders
@@ -87,11 +87,12 @@ def test_mature_rules(spark):
 def test_rule_outranks_form_only_in_legacy(spark):
     keys = spark.createDataFrame([("A DN100", "A DN100", "F", "")],
                                  "query string, description string, form_code string, customer_key string")
-    evidence = spark.createDataFrame([("description_form", "A DN100", "F", "", "B100", 3)],
-                                     "level string, description string, form_code string, customer_key string, value string, n long")
+    index = evidence.index_counts(spark.createDataFrame(
+        [("A DN100", "F", "B100", ["", "acme"], 3)],
+        "description string, form_code string, value string, names array<string>, n long"))
     mined = spark.createDataFrame([("F", "D", 20, 5)], "form string, prefix string, train_support long, validation_support long")
-    assert cascade.spec_answers(keys, evidence, mined).first()["inferred_spec"] == "B100"
-    legacy = cascade.legacy_answers(keys, evidence, mined).first()
+    assert cascade.spec_answers(keys, index, mined).first()["inferred_spec"] == "B100"
+    legacy = cascade.legacy_answers(keys, index, mined).first()
     assert (legacy["inferred_spec"], legacy["match_level"]) == ("D100", "mature_rule")
 
 
