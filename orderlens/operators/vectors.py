@@ -11,9 +11,13 @@ from pyspark.sql import functions as F
 
 from ..functions.text import blank, normalize_code
 from ..functions.vectors import SCORE_DIGITS, unit
-from ..plans.scale import salted_lookup, top_k
+from ..plans.scale import cut_lineage, salted_lookup, top_k
 
 TILE_ROWS = 4096
+CELL_ROWS = 1024
+MAX_CENTERS, SAMPLE_ROWS = 1024, 4096
+# Added to bounds before they are compared, for the rounding of angles and scores.
+SLACK = 1e-6
 CHILD_POOL = 300
 
 
@@ -45,7 +49,7 @@ def _best_in_tile(k: int, skip_self: bool):
             row, col, value = row[order], col[order], value[order]
             first = np.searchsorted(row, np.arange(len(ids)))
             keep = np.arange(len(row)) - first[row] < k
-            found.append(pd.DataFrame({"group": queries["group"].iloc[0], "qid": ids[row[keep]],
+            found.append(pd.DataFrame({"group": queries["home"].iloc[0], "qid": ids[row[keep]],
                                        "pid": pids[col[keep]], "score": value[keep]}))
         return pd.concat(found, ignore_index=True)
 
@@ -74,25 +78,207 @@ def tile_pairs(q: DataFrame, p: DataFrame, tile_rows: int) -> tuple:
             tiled(p, "pid", "pt", "qt", "pts", "qts").groupBy(*key))
 
 
-def nearest(queries: DataFrame, points: DataFrame, k: int, group: str | None = None,
-            skip_self: bool = False, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """Exact k most similar points per query: (group, qid, pid, score, rank).
+def _centers(points: DataFrame, cell_rows: int) -> np.ndarray:
+    """Unit centers of cells, far from each other first, from at most SAMPLE_ROWS points.
 
-    queries: qid, vector [, group]; points: pid, vector [, group]; vectors of equal length, already
-    normalised. Queries meet points of the same group only. Both sides are cut into tiles of about
-    tile_rows rows; one task multiplies one pair of tiles and returns at most k hits per query, so
-    neither a pair table nor a whole group ever exists in one place.
+    Any centers give exact results; the sample, the first points by a hash of pid, only decides how
+    tight the cells are. Up to MAX_CENTERS of them, one per cell_rows points.
     """
-    g = F.col(group).cast("string") if group else F.lit("all")
-    vector = F.col("vector").alias("vector")
-    q = queries.select(g.alias("group"), F.col("qid").cast("string").alias("qid"), vector)
-    p = points.select(g.alias("group"), F.col("pid").cast("string").alias("pid"), vector)
-    q_tiles, p_tiles = tile_pairs(q, p, tile_rows)
-    hits = q_tiles.cogroup(p_tiles).applyInPandas(
+    rows = (points.select("vector", F.xxhash64("pid").alias("at"), "pid")
+            .orderBy("at", "pid").limit(SAMPLE_ROWS).select("vector").toPandas())
+    if len(rows) <= cell_rows:
+        return np.zeros((1, 1 if rows.empty else len(rows["vector"].iloc[0])))
+    sample, length = _directions(np.stack(rows["vector"].to_numpy()))
+    sample = sample[length > 0] if length.any() else sample[:1]
+    count = MAX_CENTERS if len(rows) == SAMPLE_ROWS else min(MAX_CENTERS, -(-len(rows) // cell_rows))
+    chosen, closest = [0], sample @ sample[0]
+    while len(chosen) < min(count, len(sample)):
+        chosen.append(int(closest.argmin()))
+        closest = np.maximum(closest, sample @ sample[chosen[-1]])
+    centers = sample[chosen]
+    for _ in range(3):
+        at = (sample @ centers.T).argmax(axis=1)
+        sums = np.zeros_like(centers)
+        np.add.at(sums, at, sample)
+        length = np.linalg.norm(sums, axis=1, keepdims=True)
+        centers = np.where(length > 0, sums / np.where(length > 0, length, 1.0), centers)
+    return centers
+
+
+def _directions(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of unit length (zero stays zero) and their lengths."""
+    length = np.linalg.norm(vectors, axis=1)
+    return vectors / np.where(length > 0, length, 1.0)[:, None], length
+
+
+def _angles(vectors: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    unit_length, length = _directions(vectors)
+    return np.arccos(np.clip(unit_length @ centers.T, -1.0, 1.0)), length
+
+
+def _placed(points: DataFrame, centers: np.ndarray, cell_rows: int) -> DataFrame:
+    """Points with their cell, the angle to its center and their length.
+
+    A group uses as many of the centers as it has cells of cell_rows points.
+    """
+    sizes = points.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / cell_rows).cast("int")
+                                        .alias("cells"))
+    sized = salted_lookup(points, sizes, ["group"], "pid", how="inner")
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if batch.empty:
+                continue
+            angle, length = _angles(np.stack(batch["vector"].to_numpy()), centers)
+            angle[np.arange(len(centers))[None, :] >= batch["cells"].to_numpy()[:, None]] = np.inf
+            cell = angle.argmin(axis=1)
+            yield batch[["group", "pid", "vector"]].assign(
+                cell=cell, angle=angle[np.arange(len(cell)), cell], length=length)
+
+    return sized.mapInPandas(place, "group string, pid string, vector array<double>, cell int, "
+                                    "angle double, length double")
+
+
+def _bounds(queries: pd.DataFrame, cells: pd.DataFrame, centers: np.ndarray) -> np.ndarray:
+    """Best score each query can reach in each cell.
+
+    Angles obey the triangle inequality, so no point of a cell is closer to a query than the
+    difference of their angles to the center allows; lengths scale the cosine.
+    """
+    angle, length = _angles(np.stack(queries["vector"].to_numpy()),
+                            centers[cells["cell"].to_numpy()])
+    low, high = cells["angle_low"].to_numpy(), cells["angle_high"].to_numpy()
+    cosine = np.cos(np.maximum(0.0, np.maximum(angle - high, low - angle)))
+    reach = np.where(cosine >= 0, cells["length_high"].to_numpy(), cells["length_low"].to_numpy())
+    return length[:, None] * cosine * reach
+
+
+def _first_cells(k: int, centers: np.ndarray):
+    """Task kernel: per query the cells of the highest bounds that hold k points together."""
+
+    def kernel(queries: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+        if queries.empty or cells.empty:
+            return pd.DataFrame({c: [] for c in ("group", "qid", "vector", "seen")})
+        order = np.argsort(-_bounds(queries, cells, centers), axis=1, kind="stable")
+        counts = cells["n"].to_numpy()[order]
+        enough = (np.cumsum(counts, axis=1) < k).sum(axis=1) + 1
+        name = cells["cell"].to_numpy()
+        return queries[["group", "qid", "vector"]].assign(
+            seen=[name[row[:n]] for row, n in zip(order, enough, strict=True)])
+
+    return kernel
+
+
+def _later_cells(centers: np.ndarray):
+    """Task kernel: the other cells whose bound reaches a query's k-th score so far."""
+
+    def kernel(queries: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+        if queries.empty or cells.empty:
+            return pd.DataFrame({c: [] for c in ("group", "cell", "qid", "vector")})
+        name = cells["cell"].to_numpy()
+        kth = queries["kth"].fillna(-np.inf).to_numpy()[:, None]
+        wanted = _bounds(queries, cells, centers) + SLACK >= kth
+        seen = queries["seen"].to_numpy()
+        wanted[np.repeat(np.arange(len(seen)), [len(x) for x in seen]),
+               pd.Index(name).get_indexer(np.concatenate(seen))] = False
+        at, cell = np.nonzero(wanted)
+        return pd.DataFrame({
+            "group": queries["group"].iloc[0], "cell": name[cell],
+            "qid": queries["qid"].to_numpy()[at], "vector": queries["vector"].to_numpy()[at]})
+
+    return kernel
+
+
+def _visited(asked: DataFrame, placed: DataFrame, k: int, skip_self: bool,
+             tile_rows: int) -> DataFrame:
+    """Hits of queries in the cells they ask for, at most k per query and pair of tiles."""
+    room = F.concat_ws("\x01", F.col("cell").cast("string"), "group")
+    q_tiles, p_tiles = tile_pairs(
+        asked.select(room.alias("group"), F.col("group").alias("home"), "qid", "vector"),
+        placed.select(room.alias("group"), "pid", "vector"), tile_rows)
+    return q_tiles.cogroup(p_tiles).applyInPandas(
         _best_in_tile(k, skip_self), "group string, qid string, pid string, score double")
+
+
+def _sides(queries: DataFrame, points: DataFrame, group: str | None) -> tuple:
+    g = F.col(group).cast("string") if group else F.lit("all")
+    vector = F.col("vector").cast("array<double>").alias("vector")
+    return (queries.select(g.alias("group"), F.col("qid").cast("string").alias("qid"), vector),
+            points.select(g.alias("group"), F.col("pid").cast("string").alias("pid"), vector))
+
+
+VISIT = "group string, cell int, qid string, vector array<double>"
+
+
+def search_rounds(queries: DataFrame, points: DataFrame, k: int, group: str | None = None,
+                  skip_self: bool = False, tile_rows: int = TILE_ROWS,
+                  cell_rows: int = CELL_ROWS) -> dict:
+    """The steps of nearest: hits, cells (group, cell, n, bounds) and, per round, the visited
+    (group, cell, qid)."""
+    q, p = _sides(queries, points, group)
+    centers = _centers(p, cell_rows)
+    if len(centers) == 1:
+        placed = p.withColumn("cell", F.lit(0))
+        asked = q.withColumn("cell", F.lit(0))
+        return {"hits": _visited(asked, placed, k, skip_self, tile_rows),
+                "cells": placed.groupBy("group", "cell").agg(F.count(F.lit(1)).alias("n")),
+                "rounds": [asked]}
+    placed = cut_lineage(_placed(p, centers, cell_rows))
+    cells = cut_lineage(placed.groupBy("group", "cell").agg(
+        F.count(F.lit(1)).alias("n"), *(f(c).alias(f"{c}_{name}") for c in ("angle", "length")
+                                        for f, name in ((F.min, "low"), (F.max, "high")))))
+    known = cells.withColumn("pid", F.col("cell").cast("string"))
+    q_tiles, cell_tiles = tile_pairs(q, known, tile_rows)
+    planned = cut_lineage(q_tiles.cogroup(cell_tiles).applyInPandas(
+        _first_cells(k + skip_self, centers),
+        "group string, qid string, vector array<double>, seen array<int>"))
+    first = planned.select("group", F.explode("seen").alias("cell"), "qid", "vector")
+    found = cut_lineage(top_k(_visited(first, placed, k, skip_self, tile_rows), ["group", "qid"],
+                              [F.desc("score"), F.asc("pid")], k))
+    kth = found.filter(F.col("rank") == k).select("group", "qid", F.col("score").alias("kth"))
+    q_tiles, cell_tiles = tile_pairs(planned.join(kth, ["group", "qid"], "left"), known, tile_rows)
+    rest = q_tiles.cogroup(cell_tiles).applyInPandas(_later_cells(centers), VISIT)
+    hits = found.drop("rank").unionByName(_visited(rest, placed, k, skip_self, tile_rows))
+    return {"hits": hits, "cells": cells, "rounds": [first, rest]}
+
+
+def nearest(queries: DataFrame, points: DataFrame, k: int, group: str | None = None,
+            skip_self: bool = False, tile_rows: int = TILE_ROWS,
+            cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Exact k points of highest dot product per query: (group, qid, pid, score, rank).
+
+    queries: qid, vector [, group]; points: pid, vector [, group]; vectors of equal length, scores
+    are cut to [-1, 1] and rounded to nine digits, ties go to the smaller pid. Queries meet points
+    of the same group only.
+
+    Points lie in cells around centers; a cell keeps the range of its angles to the center and of
+    its lengths. A query first visits the cells of the highest bounds that hold k points, then all
+    others whose bound reaches the k-th score found there; the rest cannot change its result. A
+    cell is cut into tiles of about tile_rows rows; one task multiplies a tile of queries with one
+    of points and returns at most k hits per query, so neither a pair table nor a whole group ever
+    exists in one place. The centers, at most MAX_CENTERS, are all that tasks share.
+    """
+    hits = search_rounds(queries, points, k, group, skip_self, tile_rows, cell_rows)["hits"]
     return top_k(hits, ["group", "qid"], [F.desc("score"), F.asc("pid")], k)
 
 
+def visited_share(queries: DataFrame, points: DataFrame, k: int, **options) -> DataFrame:
+    """(group, visited, possible): pairs of query and point that a search computes, of all."""
+    run = search_rounds(queries, points, k, **options)
+    cells = run["cells"].select("group", "cell", "n")
+    visits = None
+    for asked in run["rounds"]:
+        part = asked.groupBy("group", "cell").agg(F.count(F.lit(1)).alias("q"))
+        visits = part if visits is None else visits.unionByName(part)
+    done = visits.join(cells, ["group", "cell"]).groupBy("group").agg(
+        F.sum(F.col("q") * F.col("n")).alias("visited"))
+    q, p = _sides(queries, points, options.get("group"))
+    every = (q.groupBy("group").agg(F.count(F.lit(1)).alias("q"))
+             .join(p.groupBy("group").agg(F.count(F.lit(1)).alias("n")), "group"))
+    return done.join(every, "group").select(
+        "group", "visited", (F.col("q") * F.col("n")).alias("possible"))
+
+
 def with_vectors(df: DataFrame, text: str, embed=None, size: int | None = None,
                  name: str = "vector") -> DataFrame:
     """Vector per distinct text. ``embed`` maps a string column to an array column (for example a

@@ -114,6 +114,34 @@ def test_nearest_against_brute_force(spark):
     assert {(r.qid, r.pid, r["rank"]) for r in got} == want
 
 
+@pytest.mark.parametrize("scaled,skip_self", [(False, True), (True, False)])
+def test_nearest_in_cells_against_brute_force(spark, scaled, skip_self):
+    rng = np.random.default_rng(8)
+    centers = rng.normal(size=(25, 12))
+    data = centers[rng.integers(0, 25, 2000)] + 0.08 * rng.normal(size=(2000, 12))
+    data /= np.linalg.norm(data, axis=1, keepdims=True)
+    if scaled:
+        data *= rng.random((2000, 1))
+    data[5], data[7], data[8] = 0.0, data[9], data[9]
+    ids = np.array([f"p{i:04d}" for i in range(2000)])
+    groups = np.where(np.arange(2000) % 9 == 0, "small", "large")
+    points = spark.createDataFrame([(i, g, v.tolist()) for i, g, v in zip(ids, groups, data)],
+                                   "pid string, g string, vector array<double>")
+    queries = points.withColumnRenamed("pid", "qid").filter("qid < 'p0150'")
+    got = {}
+    for r in vectors.nearest(queries, points, 5, "g", skip_self, 300, 40).collect():
+        got.setdefault(r.qid, []).append((r["rank"], r.pid))
+    scores = np.round(np.clip(data[:150] @ data.T, -1, 1), 9)
+    for i in range(150):
+        there = np.flatnonzero((groups == groups[i]) & ((np.arange(2000) != i) | (not skip_self)))
+        best = there[np.lexsort((there, -scores[i, there]))][:5]
+        assert [p for _, p in sorted(got[ids[i]])] == ids[best].tolist()
+    if not scaled:
+        share = vectors.visited_share(queries, points, 5, group="g", cell_rows=40).collect()
+        assert {r["group"] for r in share} == {"small", "large"}
+        assert sum(r["visited"] for r in share) < sum(r["possible"] for r in share) / 3
+
+
 def test_similar_pairs_against_brute_force(spark):
     words = "A B C D E F G".split()
     texts = sorted({" ".join(c) for n in (2, 3, 4) for c in itertools.islice(itertools.combinations(words, n), 12)})
