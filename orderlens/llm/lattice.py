@@ -159,11 +159,13 @@ def lattice_links(points: DataFrame, least: float = 0.95, tables: int = 6, block
     or non-finite components link with nothing, and so do vectors of different length with each
     other. Equal vectors are one node with a count of copies. Vectors of a cell are cut into shards
     of bounded size; a unit of work holds two shards, so a crowded cell is spread over tasks.
-    Rows that repeat a point_id are one node of the classes.
+    Rows that repeat a point_id are one node of the classes; rows without one link with nothing
+    and are kept.
     """
     def normed(batches):
         for batch in batches:
-            units = [unit_vector(v) for v in batch.column("vector").to_pylist()]
+            units = [None if i is None else unit_vector(v) for i, v in zip(*(
+                batch.column(c).to_pylist() for c in ("point_id", "vector")), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("point_id").cast(pa.int64()),
                  pa.array([None if u is None else hashlib.blake2b(u.tobytes(), digest_size=16)

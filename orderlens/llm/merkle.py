@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rows import unused
+
 CLAUSE_END = r"(?<=[.,;:!?|]) "
 
 
@@ -35,7 +37,7 @@ def with_tree(rows: DataFrame, text: str, tree: str) -> DataFrame:
     tree: struct root, sections array<struct hash, paragraphs array<struct hash, clauses
     array<struct hash, size>>>>. It is built level by level, each level once.
     """
-    level = "_level"
+    level = unused("_level", rows.columns)
     rows = rows.withColumn(level, clauses(F.col(text)))
     rows = rows.withColumn(level, F.transform(level, lambda section: F.transform(
         section, lambda paragraph: F.struct(_joined(paragraph).alias("hash"),

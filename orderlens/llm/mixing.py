@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rows import written
+from .rows import unused, written
 
 
 def uniform(row_id: Column) -> Column:
@@ -71,17 +71,18 @@ def mix(rows: DataFrame, margins: list[str], share: float = 0.5, exponent: float
     Rows with one row_id are kept or left together. Cells are as many as combinations of margin
     values and are summed before any shuffle, so a value that holds most rows is one small sum.
     """
-    keys = {f"_{m}": F.coalesce(F.col(m).cast("string"), F.lit("")) for m in margins}
-    named = list(keys)
+    keys = {unused(f"_{m}", rows.columns): F.coalesce(F.col(m).cast("string"), F.lit(""))
+            for m in margins}
+    named, counted = list(keys), unused("_tokens", rows.columns)
     tokens = F.greatest(F.coalesce(F.col("tokens").cast("long"), F.lit(0)), F.lit(0))
-    marked = rows.drop("probability", "kept").withColumns({**keys, "_tokens": tokens})
-    cells = (marked.filter(F.col("_tokens") > 0).groupBy(*named)
-             .agg(F.sum("_tokens").alias("tokens")))
+    marked = rows.drop("probability", "kept").withColumns({**keys, counted: tokens})
+    cells = (marked.filter(F.col(counted) > 0).groupBy(*named)
+             .agg(F.sum(counted).alias("tokens")))
     fitted = with_probabilities(rake(smoothed_targets(written(cells, "cells"), named, exponent),
                                      named, sweeps), share)
     fitted = written(fitted.select(*named, "probability"), "fitted")
     return (marked.join(fitted, named, "left")
-            .withColumn("probability", F.when(F.col("_tokens") > 0, F.col("probability"))
+            .withColumn("probability", F.when(F.col(counted) > 0, F.col("probability"))
                         .otherwise(0.0))
             .withColumn("kept", uniform(F.col("row_id")) < F.col("probability"))
-            .drop(*named, "_tokens"))
+            .drop(*named, counted))
