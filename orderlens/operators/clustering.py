@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import unit
-from ..plans.scale import cut_lineage, salted_lookup
+from ..plans.scale import cut_lineage, salted_lookup, settled
 from .templates import medoid_similarity, medoids, neighbor_similarity, vector_sum
 from .vectors import TILE_ROWS, nearest
 
@@ -17,9 +17,9 @@ PAIR_SIMILARITY = 0.75
 MIN_ADJUSTED_SILHOUETTE = 0.18
 MAX_CLUSTERS = 8
 COUNT_PENALTY, SINGLETON_PENALTY = 0.05, 0.12
-# Groups above this size are merged by distributed rounds before one task finishes them.
-MAX_GROUP = 1500
-SLICES = 64
+# Part clusters of a variety that one task cuts, and points that one task scores.
+FINISH_PARTS = 256
+SLICE_ROWS = 4096
 
 
 def _cuts(sums: np.ndarray, counts: np.ndarray, largest: int) -> dict[int, np.ndarray]:
@@ -69,70 +69,44 @@ def point_silhouettes(vectors: np.ndarray, label: np.ndarray, sums: np.ndarray,
     return np.where(own > 1, score, 0.0)
 
 
-def adjusted(silhouette: float, sizes: np.ndarray, k: int) -> float:
-    return silhouette - COUNT_PENALTY * (k - 2) - SINGLETON_PENALTY * np.count_nonzero(
-        sizes == 1) / k
-
-
-def _totals(label: np.ndarray, k: int, vectors: np.ndarray, counts: np.ndarray) -> tuple:
-    sums, sizes = np.zeros((k, vectors.shape[1])), np.zeros(k)
-    np.add.at(sums, label, vectors)
-    np.add.at(sizes, label, counts)
-    return sums, sizes
-
-
-def _label_small(points: pd.DataFrame) -> pd.DataFrame:
-    """Task kernel for one bounded variety: labels and silhouette of its points."""
-    points = points.sort_values("point_id", kind="stable")
-    vectors = np.stack(points["vector"].to_numpy())
-    n = len(points)
-    label, silhouette = np.zeros(n, dtype=int), 0.0
-    if n == 2:
-        if np.clip(vectors[0] @ vectors[1], -1.0, 1.0) < PAIR_SIMILARITY:
-            label = np.array([0, 1])
-    elif n > 2:
-        ones, best = np.ones(n), -np.inf
-        cuts = _cuts(vectors, ones, min(MAX_CLUSTERS, n - 1))
-        for k in sorted(cuts):
-            sums, sizes = _totals(cuts[k], k, vectors, ones)
-            score = float(point_silhouettes(vectors, cuts[k], sums, sizes).mean())
-            value = adjusted(score, sizes, k)
-            if value > best:
-                best, label, silhouette = value, cuts[k], score
-        if best < MIN_ADJUSTED_SILHOUETTE:
-            label, silhouette = np.zeros(n, dtype=int), 0.0
-    return pd.DataFrame({"by1": points["by1"], "point_id": points["point_id"], "label": label,
-                         "silhouette": silhouette})
-
-
-LABEL_SCHEMA = "by1 string, point_id string, label int, silhouette double"
-
-
-def _merge_rounds(points: DataFrame, max_group: int, tile_rows: int) -> tuple:
-    """Reduce big varieties to at most max_group part clusters, exactly.
+def merge_rounds(points: DataFrame, finish_parts: int = FINISH_PARTS,
+                 tile_rows: int = TILE_ROWS) -> tuple[DataFrame, DataFrame, int]:
+    """Reduce every variety to at most finish_parts part clusters, exactly.
 
     Average linkage is reducible: clusters that are each other's nearest neighbour merge in the
     full dendrogram whatever else happens, so all such pairs of a round merge at once. The seven
     widest pairs of a round wait, except that the closest pair of a variety always merges: the
     top seven merges of the dendrogram, which the cuts undo, are therefore never made here.
-    Returns (members: by1, point_id, part; parts: by1, part, total, n).
+
+    The nearest neighbour of a part is kept from round to round. A merged cluster is no closer to
+    a third part than the closer of its two halves was, so only parts that merged, or whose
+    neighbour did, search again.
+
+    Returns (members: by1, point_id, part; parts: by1, part, total, n; searches made in all).
     """
-    members = cut_lineage(points.select("by1", "point_id", F.col("point_id").alias("part")))
-    parts = cut_lineage(points.select("by1", F.col("point_id").alias("part"),
+    members = settled(points.select("by1", "point_id", F.col("point_id").alias("part")))
+    parts = settled(points.select("by1", F.col("point_id").alias("part"),
                                       F.col("vector").alias("total"),
                                       F.lit(1).cast("bigint").alias("n")))
+    known, searches = None, 0
     while True:
         counts = parts.groupBy("by1").agg(F.count(F.lit(1)).alias("parts"))
-        big = counts.filter(F.col("parts") > max_group)
-        if big.limit(1).count() == 0:
-            return members, parts
-        active = parts.join(big.select("by1"), "by1", "left_semi")
-        side = active.select(F.concat_ws("\t", "by1", "part").alias("qid"), "by1", F.transform(
+        big = settled(counts.filter(F.col("parts") > finish_parts).select("by1"))
+        if big.isEmpty():
+            return members, parts, searches
+        active = parts.join(big, "by1", "left_semi")
+        side = active.select("by1", F.col("part").alias("a"), F.transform(
             "total", lambda x: x / F.col("n")).alias("vector"))
-        best = nearest(side, side.withColumnRenamed("qid", "pid"), 1, "by1", True, tile_rows)
-        best = cut_lineage(best.select(
+        asked = side if known is None else side.join(known.select("by1", "a"), ["by1", "a"],
+                                                     "left_anti")
+        named = F.concat_ws("\t", "by1", "a")
+        found = nearest(asked.select(named.alias("qid"), "by1", "vector"),
+                        side.select(named.alias("pid"), "by1", "vector"), 1, "by1", True, tile_rows)
+        found = settled(found.select(
             F.col("group").alias("by1"), F.substring_index("qid", "\t", -1).alias("a"),
             F.substring_index("pid", "\t", -1).alias("b"), "score"))
+        searches += found.count()
+        best = found if known is None else known.join(big, "by1", "left_semi").unionByName(found)
         back = best.select("by1", F.col("b").alias("a"), F.col("a").alias("b"))
         pairs = best.join(back, ["by1", "a", "b"]).filter(F.col("a") < F.col("b"))
         # Seven widest and the closest pair per variety: at most eight rows each.
@@ -140,15 +114,20 @@ def _merge_rounds(points: DataFrame, max_group: int, tile_rows: int) -> tuple:
         closest = _limit(best.select(
             "by1", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score")
             .distinct(), [F.desc("score"), F.asc("a")], 1)
-        merged = cut_lineage(
+        merged = settled(
             pairs.join(widest.select("by1", "a", "b"), ["by1", "a", "b"], "left_anti")
             .select("by1", "a", "b").unionByName(closest.select("by1", "a", "b")).distinct())
+        touched = merged.select("by1", F.explode(F.array("a", "b")).alias("part"))
+        known = settled(
+            best.join(touched.withColumnRenamed("part", "a"), ["by1", "a"], "left_anti")
+            .join(touched.withColumnRenamed("part", "b"), ["by1", "b"], "left_anti")
+            .select("by1", "a", "b", "score"))
         rename = merged.select("by1", F.col("b").alias("part"), F.col("a").alias("into"))
         renamed = parts.join(rename, ["by1", "part"], "left").withColumn(
             "part", F.coalesce("into", "part"))
-        parts = cut_lineage(renamed.groupBy("by1", "part").agg(
+        parts = settled(renamed.groupBy("by1", "part").agg(
             vector_sum("total").alias("total"), F.sum("n").alias("n")))
-        members = cut_lineage(members.join(rename, ["by1", "part"], "left").select(
+        members = settled(members.join(rename, ["by1", "part"], "left").select(
             "by1", "point_id", F.coalesce("into", "part").alias("part")))
 
 
@@ -158,10 +137,19 @@ def _limit(df: DataFrame, order: list, k: int) -> DataFrame:
 
 
 def _cut_parts(parts: pd.DataFrame) -> pd.DataFrame:
-    """Task kernel: labels of the bounded part clusters of a variety for every cut."""
+    """Task kernel: labels of the bounded part clusters of a variety for every cut.
+
+    The cut 0 is final: of varieties of one or two points, which have no silhouette.
+    """
     parts = parts.sort_values("part", kind="stable")
-    cuts = _cuts(np.stack(parts["total"].to_numpy()), parts["n"].to_numpy().astype(float),
-                 MAX_CLUSTERS)
+    sums, counts = np.stack(parts["total"].to_numpy()), parts["n"].to_numpy().astype(float)
+    points = int(counts.sum())
+    if points > 2:
+        cuts = _cuts(sums, counts, min(MAX_CLUSTERS, points - 1))
+    elif points == 2 and len(parts) == 2 and np.clip(sums[0] @ sums[1], -1.0, 1.0) < PAIR_SIMILARITY:
+        cuts = {0: np.array([0, 1])}
+    else:
+        cuts = {0: np.zeros(len(parts), int)}
     return pd.concat([pd.DataFrame({"by1": parts["by1"], "part": parts["part"], "k": k,
                                     "label": label}) for k, label in cuts.items()])
 
@@ -180,33 +168,43 @@ def _slice_silhouettes(key, points: pd.DataFrame, sums: pd.DataFrame) -> pd.Data
     return pd.DataFrame(out, columns=["by1", "k", "score", "points"])
 
 
-def _label_big(points: DataFrame, max_group: int, tile_rows: int) -> DataFrame:
-    """Labels of varieties too large for one task."""
-    members, parts = _merge_rounds(points, max_group, tile_rows)
+def label_points(points: DataFrame, finish_parts: int = FINISH_PARTS,
+                 tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(by1, point_id, label, silhouette); points: by1, point_id, vector of unit length.
+
+    Varieties of every size go the same way: rounds of merges down to finish_parts part clusters,
+    one task that cuts these into 2 to 8 clusters, and silhouettes of all points in slices.
+    """
+    points = cut_lineage(points.select("by1", "point_id", "vector"))
+    members, parts, _ = merge_rounds(points, max(finish_parts, MAX_CLUSTERS + 1), tile_rows)
     cuts = cut_lineage(parts.groupBy("by1").applyInPandas(
         _cut_parts, "by1 string, part string, k int, label int"))
-    sums = cut_lineage(parts.join(cuts, ["by1", "part"]).groupBy("by1", "k", "label").agg(
+    open_cuts = cuts.filter("k > 0")
+    sums = cut_lineage(parts.join(open_cuts, ["by1", "part"]).groupBy("by1", "k", "label").agg(
         vector_sum("total").alias("total"), F.sum("n").alias("n")))
-    per_part = cuts.groupBy("by1", "part").agg(F.array_sort(F.collect_list(
+    per_part = open_cuts.groupBy("by1", "part").agg(F.array_sort(F.collect_list(
         F.struct("k", "label"))).alias("cut")).select(
         "by1", "part", F.col("cut.k").alias("ks"), F.col("cut.label").alias("labels"))
-    placed = points.select("by1", "point_id", "vector").join(members, ["by1", "point_id"]).join(
-        per_part, ["by1", "part"])
+    placed = points.join(members, ["by1", "point_id"]).join(per_part, ["by1", "part"])
     scores = _sliced(placed, sums)
     sizes = sums.groupBy("by1", "k").agg(F.count_if(F.col("n") == 1).alias("singletons"))
     judged = scores.groupBy("by1", "k").agg(
         (F.sum("score") / F.sum("points")).alias("silhouette")).join(sizes, ["by1", "k"])
-    judged = judged.withColumn("adjusted", F.col("silhouette") - COUNT_PENALTY * (F.col("k") - 2)
-                               - SINGLETON_PENALTY * F.col("singletons") / F.col("k"))
+    judged = judged.withColumn("adjusted", F.round(
+        F.col("silhouette") - COUNT_PENALTY * (F.col("k") - 2)
+        - SINGLETON_PENALTY * F.col("singletons") / F.col("k"), 9))
     chosen = judged.groupBy("by1").agg(
         F.max_by(F.struct("k", "silhouette", "adjusted"),
                  F.struct("adjusted", -F.col("k"))).alias("c"))
     keep = F.col("c.adjusted") >= MIN_ADJUSTED_SILHOUETTE
     final = chosen.select("by1", F.when(keep, F.col("c.k")).alias("best_k"),
                           F.when(keep, F.col("c.silhouette")).otherwise(0.0).alias("silhouette"))
-    labels = cuts.join(final, "by1").filter(F.col("k") == F.coalesce("best_k", F.lit(2))).select(
+    labels = open_cuts.join(final, "by1").filter(
+        F.col("k") == F.coalesce("best_k", F.lit(2))).select(
         "by1", "part", F.when(F.col("best_k").isNull(), 0).otherwise(F.col("label")).alias("label"),
         "silhouette")
+    labels = labels.unionByName(cuts.filter("k = 0").select(
+        "by1", "part", "label", F.lit(0.0).alias("silhouette")))
     return members.join(labels, ["by1", "part"]).select("by1", "point_id", "label", "silhouette")
 
 
@@ -225,27 +223,19 @@ def mean_silhouettes(points: DataFrame) -> DataFrame:
 
 
 def _sliced(placed: DataFrame, sums: DataFrame) -> DataFrame:
-    placed = placed.withColumn("slice", F.pmod(F.xxhash64("point_id"), F.lit(SLICES)).cast("int"))
-    copies = sums.select(*[F.col(c).alias(c) for c in sums.columns], F.explode(
-        F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("slice"))
-    return placed.groupBy("by1", "slice").cogroup(copies.groupBy("by1", "slice")).applyInPandas(
+    """Silhouette totals of slices of about SLICE_ROWS points, each with the sums of its variety."""
+    slices = sums.groupBy("by1", "k").agg(F.sum("n").alias("n")).groupBy("by1").agg(
+        F.ceil(F.max("n") / SLICE_ROWS).cast("int").alias("slices"))
+    dealt = salted_lookup(placed, slices, ["by1"], "point_id", how="inner").withColumn(
+        "slice", F.pmod(F.xxhash64("point_id"), F.col("slices")).cast("int"))
+    copies = sums.join(slices, "by1").withColumn("slice", F.explode(
+        F.sequence(F.lit(0), F.col("slices") - 1))).select(
+        *(F.col(c).alias(c) for c in (*sums.columns, "slice")))
+    return dealt.groupBy("by1", "slice").cogroup(copies.groupBy("by1", "slice")).applyInPandas(
         _slice_silhouettes, "by1 string, k int, score double, points bigint")
 
 
-def label_points(points: DataFrame, max_group: int = MAX_GROUP,
-                 tile_rows: int = TILE_ROWS) -> DataFrame:
-    """(by1, point_id, label, silhouette); points: by1, point_id, vector of unit length."""
-    counts = points.groupBy("by1").agg(F.count(F.lit(1)).alias("size"))
-    sized = salted_lookup(points.select("by1", "point_id", "vector"), counts, ["by1"], "point_id")
-    small = sized.filter(F.col("size") <= max_group).select("by1", "point_id", "vector")
-    labels = small.groupBy("by1").applyInPandas(_label_small, LABEL_SCHEMA)
-    large = sized.filter(F.col("size") > max_group).select("by1", "point_id", "vector")
-    if counts.filter(F.col("size") > max_group).limit(1).count() == 0:
-        return labels
-    return labels.unionByName(_label_big(cut_lineage(large), max_group, tile_rows))
-
-
-def cluster_descriptions(points: DataFrame, max_group: int = MAX_GROUP,
+def cluster_descriptions(points: DataFrame, finish_parts: int = FINISH_PARTS,
                          tile_rows: int = TILE_ROWS) -> DataFrame:
     """One row per point: cluster id, representative, medoid similarity, neighbour, outlier.
 
@@ -253,7 +243,7 @@ def cluster_descriptions(points: DataFrame, max_group: int = MAX_GROUP,
     Cluster ids run from 1 in the order of the smallest member id.
     """
     ready = points.withColumn("vector", unit(F.col("vector")))
-    labels = cut_lineage(label_points(ready, max_group, tile_rows))
+    labels = cut_lineage(label_points(ready, finish_parts, tile_rows))
     firsts = labels.groupBy("by1", "label").agg(F.min("point_id").alias("first_id"))
     # At most MAX_CLUSTERS rows per variety.
     ids = firsts.withColumn("cluster_id", F.row_number().over(

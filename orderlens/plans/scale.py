@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,17 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="orderlens-")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The frame written as Parquet in the shared folder and read again, for loops of joins.
+
+    A checkpoint keeps the size estimates of its plan, and these multiply from join to join until
+    planning takes longer than the work; a table has the size of its files.
+    """
+    path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def over_distinct(df: DataFrame, keys: list[str], enrich, row_id: str | None = None) -> DataFrame:
     """Run enrich once per distinct key and join the result back to every row.
 

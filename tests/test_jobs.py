@@ -178,21 +178,68 @@ def test_clustering_golden(spark):
     assert all(r.representative.startswith(r.by1) for r in detail)
 
 
-def test_big_group_gives_the_same_clusters(spark):
-    rng = np.random.default_rng(1)
-    centers = rng.normal(size=(3, 6)) * 4
-    vs = np.vstack([c + rng.normal(scale=0.4, size=(30, 6)) for c in centers])
-    points = _points(spark, {"A": vs}).withColumn("vector", unit(F.col("vector")))
-    small = {(r.point_id, r.label, round(r.silhouette, 9)) for r in clustering.label_points(points).collect()}
-    big = {(r.point_id, r.label, round(r.silhouette, 9)) for r in clustering.label_points(
-        points, max_group=80, tile_rows=32).collect()}
-    def parts(rows):
-        out = {}
-        for p, l, _ in rows:
-            out.setdefault(l, set()).add(p)
-        return sorted(map(sorted, out.values()))
-    assert parts(big) == parts(small) and len(parts(small)) == 3
-    assert {s for _, _, s in big} == {s for _, _, s in small}
+def clusters_in_one_place(vectors):
+    """Best average-linkage cut of one variety, and its silhouette, from all pairs of points."""
+    n = len(vectors)
+    best = (clustering.MIN_ADJUSTED_SILHOUETTE, np.zeros(n, int), 0.0)
+    groups, cuts = [[i] for i in range(n)], {}
+    similarity = vectors @ vectors.T
+    while len(groups) > 1:
+        if len(groups) <= min(8, n - 1):
+            cuts[len(groups)] = [list(g) for g in groups]
+        pairs = [(-round(float(similarity[np.ix_(a, b)].mean()), 9), i, j) for i, a in enumerate(groups)
+                 for j, b in enumerate(groups) if i < j]
+        _, i, j = min(pairs)
+        groups[i] += groups.pop(j)
+    for k in sorted(cuts):
+        label = np.zeros(n, int)
+        for at, g in enumerate(cuts[k]):
+            label[g] = at
+        score = []
+        for i in range(n):
+            own = [x for x in np.flatnonzero(label == label[i]) if x != i]
+            if not own:
+                score.append(0.0)
+                continue
+            inner = np.mean(1 - similarity[i, own])
+            outer = min(np.mean(1 - similarity[i, label == m]) for m in range(k) if m != label[i])
+            score.append((outer - inner) / max(inner, outer))
+        singles = sum(len(g) == 1 for g in cuts[k])
+        value = round(np.mean(score) - 0.05 * (k - 2) - 0.12 * singles / k, 9)
+        if value > best[0] or value == best[0] and best[2] == 0.0:
+            best = (value, label, float(np.mean(score)))
+    return best[1:]
+
+
+def _label_sets(label, ids):
+    return sorted(sorted(i for i, x in zip(ids, label) if x == m) for m in set(label))
+
+
+@pytest.mark.parametrize("seed,scale,digits", [(3, 0.5, 1)])
+def test_clusters_after_merge_rounds(spark, seed, scale, digits):
+    rng = np.random.default_rng(seed)
+    centers = rng.normal(size=(4, 6)) * 3
+    sizes = {"A": 70, "B": 24, "C": 9, "D": 3}
+    groups = {g: (centers[rng.integers(0, 4, n)] + rng.normal(scale=scale, size=(n, 6))).round(digits) for g, n in sizes.items()}
+    groups["A"][50:] = groups["A"][:20]
+    points = _points(spark, groups).withColumn("vector", unit(F.col("vector")))
+    rows = clustering.label_points(points, finish_parts=50).collect()
+    for g in groups:
+        own = {r.point_id: r for r in rows if r.by1 == g}
+        ids = [f"{g}{i:02d}" for i in range(len(groups[g]))]
+        order = sorted(range(len(ids)), key=ids.__getitem__)
+        vectors = groups[g] / np.linalg.norm(groups[g], axis=1, keepdims=True)
+        label, silhouette = clusters_in_one_place(vectors[order])
+        assert _label_sets([own[ids[i]].label for i in order], order) == _label_sets(label, order), g
+        assert own[ids[0]].silhouette == pytest.approx(silhouette, abs=1e-9)
+
+
+def test_merge_rounds_search_few_neighbours(spark):
+    rng = np.random.default_rng(7)
+    points = _points(spark, {"A": rng.normal(size=(150, 8))}).withColumn("vector", unit(F.col("vector")))
+    members, parts, searches = clustering.merge_rounds(points, 80)
+    assert parts.count() <= 80 and members.count() == 150
+    assert parts.agg(F.sum("n")).first()[0] == 150 and searches < 150 * 3
 
 
 def test_prefix_matches_against_brute_force(spark):
@@ -233,19 +280,3 @@ def test_template_pair_split(spark):
         .withColumn("vector", unit(F.col("vector")))
     got = {r.point_id: r.cluster_id for r in templates.assign_templates(members).collect()}
     assert got == {"p1": 1, "p2": 2, "p3": 3, "p4": 3}
-
-
-def test_clusters_with_equal_vectors_either_way(spark):
-    rng = np.random.default_rng(11)
-    base = rng.normal(size=(9, 5)).round(1)
-    groups = {"D": np.concatenate([base, base[:6], base[:3], rng.normal(size=(6, 5)).round(1)])}
-    df = _points(spark, groups).withColumn("vector", unit(F.col("vector")))
-
-    def parts(max_group):
-        rows = clustering.label_points(df, max_group=max_group, tile_rows=7).collect()
-        sets = {}
-        for r in rows:
-            sets.setdefault(r["label"], set()).add(r["point_id"])
-        return sorted(sorted(v) for v in sets.values()), round(rows[0]["silhouette"], 9)
-
-    assert parts(1500) == parts(21)

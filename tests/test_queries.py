@@ -14,7 +14,8 @@ PICKED = ["normalize_text", "parse_product_codes", "infer_size", "segments", "vi
           "hits_by_label", "rerank_fusion", "eval_gold", "append_descriptions", "stream_scores",
           "term_match_large", "dictionary_usage", "design_render", "designed_orders",
           "cluster_descriptions", "cluster_report", "legacy_spec", "cosine_topk",
-          "weighted_jaccard", "template_retrieve", "recommend", "infer_spec", "batch_import"]
+          "weighted_jaccard", "template_retrieve", "recommend", "infer_spec", "batch_import",
+          "exact_by1", "written_index", "stream_specs"]
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are absent")
