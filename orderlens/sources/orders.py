@@ -45,6 +45,66 @@ FROM (
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN customer ON o_custkey = c_custkey) a) b
 """
 
+# The same order lines in the wordings and codes that the plain view leaves out: every notation of
+# a size, accessories and spare parts, damaged product codes, and varieties (ending in P) whose
+# specification always is one letter and the size that the text gives.
+ORDER_VARIANTS_SQL = """
+SELECT row_id, contract_date, order_no, customer, by1, material, description,
+  CASE WHEN p_partkey % 3 <> 0 AND shape % 13 = 11 THEN concat(letter, size, 'A') ELSE concat(letter, size) END AS spec,
+  CASE code WHEN 0 THEN '' WHEN 1 THEN CAST(30000000000 + p_partkey AS VARCHAR(20))
+    WHEN 2 THEN concat(biz, by1, '_', letter, size, '_', form, 'ZZ')
+    WHEN 3 THEN concat(biz, 'ANOTHER_', letter, size, '_', form, material)
+    WHEN 4 THEN concat(biz, by1, '_', letter, size, '_', material, 'R10')
+    WHEN 5 THEN concat(biz, biz, by1, '_', letter, size, '_', form, material)
+    ELSE concat(CASE WHEN code < 9 THEN '' ELSE biz END, by1, '_', letter, size, '_', form, material, 'R', CAST(p_size AS VARCHAR(4))) END AS product_code
+FROM (
+ SELECT row_id, contract_date, order_no, customer, p_partkey, p_size, shape, code, biz, form, material,
+  CASE WHEN p_partkey % 3 = 0 THEN concat('D', CAST(371 + p_size % 4 AS VARCHAR(4)), 'P')
+       ELSE concat(CASE p_partkey % 4 WHEN 0 THEN 'XD' WHEN 1 THEN 'H' WHEN 2 THEN 'Z' ELSE 'Q' END, substr(p_brand, 7), 'X') END AS by1,
+  CASE WHEN p_partkey % 3 = 0 THEN substr('ABCD', CAST(p_size % 4 AS INT) + 1, 1) ELSE substr(p_type, 1, 1) END AS letter,
+  CASE WHEN shape IN (0, 1, 2, 6, 9, 22) THEN od WHEN shape IN (3, 4) THEN tube
+       WHEN shape = 5 THEN CASE dn WHEN '65' THEN '73' WHEN '125' THEN '141' ELSE od END ELSE dn END AS size,
+  CASE shape
+   WHEN 0 THEN concat('DI GROOVED BFV, EPDM SEAT, GEAR, ', inch, '", 300PSI')
+   WHEN 1 THEN concat('di grvd bfv ', inch, '" ', od, 'mm, PN16, ul/fm')
+   WHEN 2 THEN concat('GRV BFV ', inch, '"/999MM, W/ SWITCHES')
+   WHEN 3 THEN concat('GROOVED CTS BFV ', inch, '" ST-700, LEVER')
+   WHEN 4 THEN concat('GRVD BFV ', CASE inch WHEN '2 1/2' THEN '2.5' ELSE inch END, ' COPPER, FIG 215')
+   WHEN 5 THEN concat('GD48638N GRVD BFV ', CASE inch WHEN '2 1/2' THEN '2-1/2' ELSE inch END, '" RAL 3000')
+   WHEN 6 THEN concat('DI GROOVED BFV DN', dn, ', 16BAR')
+   WHEN 7 THEN 'DI GROOVED BFV 88MM, HD371'
+   WHEN 8 THEN concat('GATE VALVE SUITABLE FOR DN40 DN', dn, ' DN25')
+   WHEN 9 THEN concat('CLAMP SUIT FOR 21.3MM ', od, '.4MM')
+   WHEN 10 THEN concat('DI FLGD OS&Y GATE VALVE ', inch, '"/DN', dn, ', 16BAR, STEM PRE-NOTCHED')
+   WHEN 11 THEN concat('WAFER BUTTERFLY VALVE ', inch, '", DN', dn, ' NBR SEAT TAMPER SWITCH')
+   WHEN 12 THEN concat('SUPERVISORY SWITCH FOR BFV DN', dn)
+   WHEN 13 THEN concat('REPAIR KIT FOR GATE VALVE DN', dn)
+   WHEN 14 THEN concat('LUG BUTTERFLY VALVE, VITON SEAT, CS DISC, HIGHER LEVER, LONG NECK, ', dn, 'MM')
+   WHEN 15 THEN concat('TRIPLE ECCENTRIC BFV FLGD, PTFE SEAT, SS304 DISC, MOTORIZED, DRAIN HOLE, AWWA, DN', dn)
+   WHEN 16 THEN concat('DOUBLE ECCENTRIC WAFER LUG BFV, DI+EPDM DISC, NO DRIVE, JIS 10K, DN ', dn)
+   WHEN 17 THEN concat('DI FLGD SWING CV DN', dn, ', CS SEAT')
+   WHEN 18 THEN concat('GV OSY NRS DI THD BSP DN', dn, ' ANSI CL 150')
+   WHEN 19 THEN concat('BALL VALVE NPT DN', dn)
+   WHEN 20 THEN ''
+   WHEN 21 THEN concat('CONTROL VALVE ', dn, 'MM EPOXY COATED')
+   WHEN 22 THEN concat('DI GRVD BV ', inch, '" 10 BAR')
+   WHEN 23 THEN concat('FIRERISER WAFERBFV THEREADED DN', dn, ', DI+NBR DISC, AL HANDLE, LOCKABLE')
+   WHEN 24 THEN 'INDEX PLATE, NEW TURBINE, NORMAL CLOSE 70G'
+   ELSE concat('XD371X BUNA-N SEATED CI LUGGED VALVE ', inch, '"') END AS description
+ FROM (
+  SELECT concat(CAST(l_orderkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VARCHAR(4)), '-', CAST(l_partkey AS VARCHAR(20)), '-', CAST(l_suppkey AS VARCHAR(20)), '-', CAST(CAST(l_quantity AS INT) AS VARCHAR(8))) AS row_id,
+   CAST(o_orderdate AS DATE) AS contract_date, CAST(o_orderkey AS VARCHAR(20)) AS order_no, c_name AS customer,
+   p_partkey, p_brand, p_type, p_size, (p_partkey + l_linenumber * 5) % 26 AS shape, (p_partkey + l_linenumber + l_suppkey) % 40 AS code,
+   substr('ABCDEFGH', CAST(l_suppkey % 8 AS INT) + 1, 1) AS biz,
+   concat('F', substr(p_brand, 7), 'S', CAST(p_size AS VARCHAR(4))) AS form,
+   concat('Q', CAST(10 + p_partkey % 7 AS VARCHAR(4))) AS material,
+   CASE p_size % 9 WHEN 0 THEN '50' WHEN 1 THEN '65' WHEN 2 THEN '80' WHEN 3 THEN '100' WHEN 4 THEN '125' WHEN 5 THEN '150' WHEN 6 THEN '200' WHEN 7 THEN '250' ELSE '300' END AS dn,
+   CASE p_size % 9 WHEN 0 THEN '2' WHEN 1 THEN '2 1/2' WHEN 2 THEN '3' WHEN 3 THEN '4' WHEN 4 THEN '5' WHEN 5 THEN '6' WHEN 6 THEN '8' WHEN 7 THEN '10' ELSE '12' END AS inch,
+   CASE p_size % 9 WHEN 0 THEN '60' WHEN 1 THEN '76' WHEN 2 THEN '89' WHEN 3 THEN '114' WHEN 4 THEN '140' WHEN 5 THEN '168' WHEN 6 THEN '219' WHEN 7 THEN '273' ELSE '324' END AS od,
+   CASE p_size % 9 WHEN 0 THEN '54' WHEN 1 THEN '67' WHEN 2 THEN '79' WHEN 3 THEN '105' WHEN 4 THEN '130' WHEN 5 THEN '156' WHEN 6 THEN '206' WHEN 7 THEN '257' ELSE '308' END AS tube
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey JOIN customer ON o_custkey = c_custkey) a) b
+"""
+
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -52,8 +112,17 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def order_history(spark: SparkSession, folder: str) -> DataFrame:
     """The order-history rows derived from the star tables in a folder."""
+    return _order_view(spark, folder, ORDER_HISTORY_SQL)
+
+
+def order_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """The same order lines in the rarer wordings and codes."""
+    return _order_view(spark, folder, ORDER_VARIANTS_SQL)
+
+
+def _order_view(spark: SparkSession, folder: str, statement: str) -> DataFrame:
     return spark.sql(
-        ORDER_HISTORY_SQL.replace("FROM lineitem JOIN orders", "FROM {lineitem} JOIN {orders}")
+        statement.replace("FROM lineitem JOIN orders", "FROM {lineitem} JOIN {orders}")
         .replace("JOIN part ON", "JOIN {part} ON").replace("JOIN customer ON", "JOIN {customer} ON"),
         lineitem=read_table(spark, folder, "lineitem").select(*LINE_COLUMNS),
         **{t: read_table(spark, folder, t) for t in ("orders", "part", "customer")})
