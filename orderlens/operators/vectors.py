@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import blank, normalize_code
+from ..functions.text import blank, normalize_code, strip
 from ..functions.vectors import SCORE_DIGITS, unit
 from ..plans.scale import cut_lineage, salted_lookup, top_k
 
@@ -292,19 +292,64 @@ def with_vectors(df: DataFrame, text: str, embed=None, size: int | None = None,
     return df.join(vectors, text, "left")
 
 
-def batch_embedder(encode, batch_size: int = 64):
-    """Column function from ``encode(list of texts) -> list of vectors``, run on Arrow batches."""
+def batch_embedder(encode=None, batch_size: int = 64, load=None, model: str = ""):
+    """Column function from ``encode(list of texts) -> list of vectors``, run on Arrow batches.
+
+    Instead of encode, ``load()`` may return it: a Python worker calls it once per model name and
+    keeps the result for its later tasks.
+    """
+    if (encode is None) == (load is None):
+        raise ValueError("give encode or load")
+
     @F.pandas_udf("array<double>")
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        run = encode or worker_model(model, load)
         for texts in batches:
             texts = texts.fillna("").tolist()
             out = []
             for start in range(0, len(texts), batch_size):
-                out.extend(list(map(float, v)) for v in encode(texts[start:start + batch_size]))
+                out.extend(list(map(float, v)) for v in run(texts[start:start + batch_size]))
             yield pd.Series(out)
     return udf
 
 
+_WORKER_MODELS: dict = {}
+
+
+def worker_model(name: str, load):
+    """The model of a name in this Python worker, loaded on first use."""
+    if name not in _WORKER_MODELS:
+        _WORKER_MODELS[name] = load()
+    return _WORKER_MODELS[name]
+
+
+def stored_vectors(df: DataFrame, text: str, path: str, embed, size: int, model: str) -> DataFrame:
+    """Rows with the vector of their text from a stored table; only texts it lacks are embedded.
+
+    The table below path holds text_hash and vector per model. Its new rows are appended in one
+    job, so a lost run adds nothing; a vector of another size fails the run. One writer at a time.
+    """
+    spark = df.sparkSession
+    place = f"{path}/model={model}"
+    schema = "text_hash binary, vector array<double>"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(place)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def table() -> DataFrame:
+        if not files.exists(folder):
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema).parquet(place)
+
+    hashed = F.unhex(F.sha2(blank(F.col(text)).cast("binary"), 256))
+    texts = df.select(blank(F.col(text)).alias("text"), hashed.alias("text_hash")).distinct()
+    unseen = cut_lineage(texts.join(table(), "text_hash", "left_anti"))
+    if not unseen.isEmpty():
+        with_vectors(unseen, "text", embed, size).select("text_hash", "vector").write.mode(
+            "append").parquet(place)
+    keyed = df.withColumn("text_hash", hashed)
+    return keyed.join(table(), "text_hash", "left").drop("text_hash")
+
+
 def child_hits(requests: DataFrame, children: DataFrame, pool: int = CHILD_POOL,
                group: str | None = None, min_score: float | None = None) -> DataFrame:
     """Hits of requests (request_id, vector [, group]) among children (child_id, vector, ...)."""
@@ -391,6 +436,22 @@ def parse_rerank_payloads(payloads: DataFrame) -> DataFrame:
                 F.max_by("score", "position").alias("score")))
 
 
+def rerank_documents(candidates: DataFrame, requests: DataFrame) -> DataFrame:
+    """What a reranker reads: (request_id, by1, rerank_query, document) per candidate.
+
+    requests: request_id, query, form_code. The document names the variety and up to three of its
+    matched descriptions; blank ones are left out.
+    """
+    asked = requests.select("request_id", F.concat_ws(
+        " ", *[F.nullif(strip(blank(F.col(c))), F.lit("")) for c in ("query", "form_code")])
+        .alias("rerank_query"))
+    texts = F.filter(F.transform("matched_descriptions", lambda t: strip(blank(t))),
+                     lambda t: t != "")
+    document = strip(F.concat(F.col("by1"), F.lit(": "), F.array_join(F.slice(texts, 1, 3), " | ")))
+    return candidates.select("request_id", "by1", document.alias("document")).join(
+        asked, "request_id")
+
+
 def fuse_rerank(candidates: DataFrame, scores: DataFrame, key: str = "by1") -> DataFrame:
     """Blend reranker scores into candidates (request_id, key, rank, score, vector_score,
     form_match, support); a request without a score for every candidate keeps its order."""

@@ -113,13 +113,14 @@ def request_views(keys: DataFrame, embed=hashed_vector) -> DataFrame:
 
 
 def recommend(requests: DataFrame, index: dict, template_index: dict | None = None,
-              children: DataFrame | None = None, rerank_scores: DataFrame | None = None,
+              children: DataFrame | None = None, rerank_scores=None,
               embed=hashed_vector, k: int = 5) -> DataFrame:
     """One row per request: variety candidates and level, specification, alternatives.
 
     index: by1_evidence, spec_evidence, form_rules. template_index: templates and profiles.
     children: embedded_children. Templates, then vectors, answer only requests without an exact
-    variety; rerank scores (request_id, by1, score) re-order vector candidates.
+    variety; rerank scores (request_id, by1, score) re-order vector candidates. They are a table
+    or a function from the documents to be scored (vectors.rerank_documents) to such a table.
     """
     parsed = cascade.parse_requests(requests)
     keys = cut_lineage(cascade.request_keys(parsed))
@@ -141,7 +142,10 @@ def recommend(requests: DataFrame, index: dict, template_index: dict | None = No
         ranked = vectors.by1_from_hits(hits, asked, k)
         level = F.lit("vector_full_index")
         if rerank_scores is not None:
-            ranked = vectors.fuse_rerank(ranked, rerank_scores)
+            ranked = cut_lineage(ranked)
+            scores = (rerank_scores(vectors.rerank_documents(ranked, asked))
+                      if callable(rerank_scores) else rerank_scores)
+            ranked = vectors.fuse_rerank(ranked, scores)
             level = F.when(F.col("used"), "vector_reranked").otherwise(level)
         answers = answers.unionByName(_answer(asked, ranked, level))
     specs = cascade.spec_answers(keys, index["spec_evidence"], index["form_rules"], profiles)
