@@ -157,6 +157,26 @@ def eval_gold(spark, d):
         "gate_review_complete", "gate_description_approval_rate")
 
 
+_GATES = {"critical_field_accuracy": 0.99, "autofill_accuracy": 0.99,
+          "description_approval_rate": 0.98, "template_top1": 0.95, "template_top3": 0.99}
+
+
+@query("eval_gold_gates", sql(f"""
+SELECT r.role_accuracy, r.target_valve_precision, reviewed_rows >= 600 AS gate_review_complete, r.target_valve_precision >= 0.995 AS gate_target_valve_precision,
+  {', '.join(f'g.{n} >= {v} AS gate_{n}' for n, v in _GATES.items())}
+FROM ({ORACLES["eval_gold"][ORACLES["eval_gold"].index("SELECT reviewed_rows"):]}) g,
+  (SELECT round_even(count(*) FILTER (c <> '9' OR role = 'accessory') / count(*), 4) AS role_accuracy,
+     round_even(count(*) FILTER (role = 'valve' AND c <> '9') / count(*) FILTER (role = 'valve'), 4) AS target_valve_precision
+   FROM (SELECT *, right(row_id, 1) AS c FROM gold) WHERE c <> '4') r""", "gold"))
+def eval_gold_gates(spark, d):
+    """All gates and the role accuracy; rows whose id ends in 9 are corrected to accessories."""
+    review = _review(spark, d).withColumn("corrected_role", F.when(
+        F.right("row_id", F.lit(1)) == "9", "accessory").otherwise(""))
+    metrics = E.gold_metrics(review)
+    gates = [c for c in metrics.columns if c.startswith("gate_")]
+    return metrics.select("role_accuracy", "target_valve_precision", *gates)
+
+
 @query("review_answers", """
 SELECT conv_id, turn, CASE WHEN a IN ('yes', '是', 'y') THEN 'yes' WHEN a IN ('no', '不通过', 'off') AND a <> 'off' THEN 'no' ELSE 'open' END AS answer, CASE WHEN role = 'user' THEN role ELSE 'corrected' END AS truth FROM (
   SELECT conv_id, turn, role, (['yes', '是', 'no', '不通过', 'off', ''])[(conv_id + turn) % 6 + 1] AS a FROM conversations)""")
