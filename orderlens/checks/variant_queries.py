@@ -16,7 +16,8 @@ from ..operators import rules as R
 from ..plans import jobs as J
 from ..plans.scale import cut_lineage
 from ..sources.orders import (ORDER_HISTORY_SQL, ORDER_VARIANTS_SQL, code_quarantine,
-                              code_status_counts, load_orders, order_variants, prepare_orders)
+                              code_status_counts, load_orders, order_variants, prepare_orders,
+                              read_table)
 from . import history_queries as HQ
 from .inputs import as_lookup, keys, later, past
 from .oracle_parts import PARTS, mapping, part, re, sql
@@ -194,7 +195,6 @@ FROM (SELECT *, status = 'ok' AS ok, regexp_extract(rest, '^.([0-9])', 1) AS sd
       SELECT model, CASE WHEN regexp_matches(clean, '^({_TYPES})') THEN clean ELSE substr(clean, 2) END AS base FROM (
        SELECT model, regexp_replace(upper(model), '[^A-Z0-9]+', '', 'g') AS clean FROM ({_MODEL_SQL})))))))))""")
 def variant_models(spark, d):
-    from ..sources.orders import read_table
     models = spark.sql(
         _MODEL_SQL.replace("FROM lineitem JOIN part", "FROM {lineitem} JOIN {part}"),
         lineitem=read_table(spark, d, "lineitem"), part=read_table(spark, d, "part"))
